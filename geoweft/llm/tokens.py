@@ -1,83 +1,111 @@
 """Whole-text encoding with a public tokenizer file.
 
-White space never joins two pre-tokens in the supported vocabularies that drop it, and ASCII
-lower-casing commutes with their normalizer, so a text is encoded as the concatenation of its
-blank-separated chunks.  Chunk encodings are remembered per Python worker (``memo_entries`` bounds
-that memory); the tokenizers library encodes every chunk that is not remembered.  For vocabularies
-without that property ``chunked=False`` encodes each text in one call.
+For a vocabulary that drops white space and marks word ends, a text is encoded as the concatenation
+of its blank-separated chunks: white space never joins two pre-tokens, and ASCII lower-casing
+commutes with the normalizer.  Chunk encodings are remembered per Python worker, in two generations
+of ``memo_entries`` each, so memory is bounded.  A chunk that is not remembered goes through the
+library's BPE model by pre-token where its characters make normalization plain (ASCII and Latin
+letters), and through the library's whole encoder otherwise.  Other vocabularies encode each text in
+one call.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
+from array import array
 from functools import lru_cache
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
+
+# The pre-token pattern and the normalizer for which the chunk path is exact.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+#: Characters whose lower case and class need no context: visible ASCII and Latin letters.
+PLAIN = re.compile("[!-~À-įı-ɏ]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible bytes stand for themselves, the others for 256, 257, ..."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Memo(dict):
+    """chunk -> packed ids; the older generation is dropped when the younger is full."""
+
+    def __init__(self, learn, entries: int):
+        super().__init__()
+        self.learn, self.entries, self.old = learn, entries, {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.learn(chunk)
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
 
 
 class ChunkEncoder:
     """text -> little-endian unsigned ids as bytes, ``width`` bytes an id."""
 
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.width = 2 if self.size <= 65536 else 4
+        self.model = self.tok.model
+        self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else 4
         self.dtype = "<u2" if self.width == 2 else "<u4"
-        self.memo: dict[bytes, bytes] = {}
-        self.memo_entries = memo_entries
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        parts = (spec.get("normalizer") or {}).get("normalizers", [])
-        self.chunked = {"type": "Lowercase"} in parts and any(p.get("type") == "Replace" and p.get("pattern") == {"Regex": "\\s+"} for p in parts) and spec.get("model", {}).get("end_of_word_suffix") == "</w>"
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.chunked = (
+            (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+            and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+            and steps[0].get("pattern") == {"Regex": PATTERN}
+            and not steps[1].get("add_prefix_space")
+            and not steps[1].get("use_regex")
+            and spec.get("post_processor") is None
+        )
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.letters, self.cut = _byte_letters(), regex.compile(PATTERN).findall
+        self.memo = _Memo(self._learn, memo_entries)
 
     def _pack(self, ids) -> bytes:
-        import numpy as np
-
-        return np.asarray(ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.memo) + len(chunks) > self.memo_entries:
-            self.memo.clear()
-            return self._encode(chunks, chunks)
-        return self._encode(chunks, {c for c in chunks if c not in self.memo})
-
-    def _encode(self, _all: set[bytes], new: set[bytes]) -> None:
-        # "word." and "word," are the word and the mark: a letter never joins a following mark
-        ends = {c: c[-1:] for c in new if c[-1:] in (b".", b",") and c[-2:-1].isalpha()}
-        plain = {c[:-1] for c in ends if c[:-1] not in self.memo} | {c for c in new if c not in ends}
-        plain |= {e for e in set(ends.values()) if e not in self.memo}
-        order = list(plain)
-        for c, e in zip(order, self.tok.encode_batch_fast([c.decode("utf-8") for c in order], add_special_tokens=False)):
-            self.memo[c] = self._pack(e.ids)
-        for c, e in ends.items():
-            self.memo[c] = self.memo[c[:-1]] + self.memo[e]
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _word(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(shown)])
+
+    def _learn(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():
+            return self._word(chunk.decode())
+        if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalpha():  # a letter never joins a following mark
+            return self.memo[chunk[:-1]] + self.memo[chunk[-1:]]
+        text = chunk.decode("utf-8", "surrogatepass")
+        if PLAIN(text) and unicodedata.is_normalized("NFC", text):
+            return b"".join([self._word(p) for p in self.cut(text.lower())])
+        return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; None counts as the empty text."""
         if not self.chunked:
-            done = self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-            return [self._pack(e.ids) for e in done]
-        out = []
-        for at in range(0, len(texts), 256):
-            rows, seen = [], set()
-            for t in texts[at : at + 256]:
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                if any(s in raw for s in self.special):
-                    rows.append(t)
-                    continue
-                chunks = raw.lower().replace(b"\n", b" ").split(b" ")
-                rows.append(chunks)
-                seen.update(chunks)
-            self._learn(seen)
-            get = self.memo.__getitem__
-            for r in rows:
-                if isinstance(r, str):
-                    out.append(self._pack(self.tok.encode(r, add_special_tokens=False).ids))
-                else:
-                    out.append(b"".join(map(get, r)))
+            return [self._pack(e.ids) for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        out, get = [], self.memo.__getitem__
+        for text in texts:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            if any(s in raw for s in self.special):
+                out.append(self._pack(self.tok.encode(text, add_special_tokens=False).ids))
+            else:
+                out.append(b"".join(map(get, raw.lower().replace(b"\n", b" ").split(b" "))))
         return out
 
 
