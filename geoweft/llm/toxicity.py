@@ -3,7 +3,7 @@
 Labels are given for documents only, so word labels come from a lexicon found by greedy cover: words
 that occur almost only in toxic training documents, taken by how many toxic documents they newly
 cover.  The field is trained on those word labels; forward-backward marginals give offending spans,
-and the largest marginal of a document, calibrated on the training labels, its score.  The model is
+and a document's largest marginal and sum of marginals, calibrated on the training labels, its score.  The model is
 fit on at most about ``PER_LABEL`` labelled documents of each label (chosen by a hash of doc_id).
 
 Defined results: null, empty and wordless texts get the score of no toxic word; repeated rows are
@@ -36,57 +36,74 @@ def stems(words: set[str]) -> set[str]:
     return {w[:k] for w in words for k in range(min(STEM[0], len(w)), min(STEM[1], len(w)) + 1)}
 
 
-def lexicon(docs: list[tuple[int, set[str]]], precision: float = 0.9, least: float = 0.005) -> list[str]:
-    """Stems of toxic documents, in the order of a greedy cover."""
-    toxic, clean_df = [stems(w) for y, w in docs if y], Counter(x for y, w in docs if not y for x in stems(w))
+def lexicon(docs: list[tuple[int, list[str]]], precision: float = 0.8, least: float = 0.005) -> set[str]:
+    """Stems of toxic documents by greedy cover; a stem that clean documents have by chance must come twice."""
+    counted = []
+    for y, words in docs:
+        n: Counter[str] = Counter()
+        for w, k in Counter(words).items():
+            for x in stems({w}):
+                n[x] += k
+        counted.append((y, {(x, k) for x, c in n.items() for k in (1, 2) if c >= k}))
+    toxic, fine = [w for y, w in counted if y], Counter(x for y, w in counted if not y for x in w)
     df = Counter(x for w in toxic for x in w)
     ratio = len(toxic) / max(1, len(docs) - len(toxic))
-    good = {x for x, n in df.items() if n >= 3 and n / (n + clean_df[x] * ratio) >= precision}
-    left, out = [w & good for w in toxic], []
+    good = {x for x, n in df.items() if n >= 3 and n / (n + fine[x] * ratio) >= precision}
+    left, out = [w & good for w in toxic], set()
     while left:
         gain = Counter(x for w in left for x in w)
         if not gain:
             break
-        word, n = min(gain.items(), key=lambda g: (-g[1], -df[g[0]], -len(g[0]), g[0]))
+        best, n = min(gain.items(), key=lambda g: (-g[1], fine[g[0]], -len(g[0][0]), g[0]))
         if n < max(3, least * len(toxic)):
             break
-        out.append(word)
-        left = [w for w in left if word not in w]
-    # words that go with the found ones as often: the cover needs one of them, the tagger all
-    often = {x for x in good if df[x] >= 0.1 * len(toxic)}
-    shorter = {x[:-1] for x in often if df[x[:-1]] == df[x]}
-    return out + sorted(often - shorter - set(out))
+        out.add(best[0])
+        left = [w for w in left if best not in w]
+    # stems that go with the found ones: the cover needs one of them, the tagger all
+    often = {x for x in good if x[1] == 1 and df[x] >= 0.1 * len(toxic)}
+    shorter = {(x[:-1], 1) for x, _ in often if df[x[:-1], 1] == df[x, 1]}
+    return out | {x for x, _ in often - shorter}
 
 
 class Toxicity:
-    """The field, the calibration of the largest marginal, and scoring."""
+    """The field, the calibration of a document's marginals, and scoring."""
 
-    def __init__(self, model: Crf, slope: float, shift: float):
-        self.model, self.slope, self.shift = model, slope, shift
+    def __init__(self, model: Crf, weights: np.ndarray):
+        self.model, self.weights = model, weights
 
-    def score(self, largest: np.ndarray) -> np.ndarray:
-        x = np.clip(largest.astype(np.float64), 1e-6, 1 - 1e-6)
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.log(x / (1 - x)) + self.shift, -60, 60)))
+    def score(self, summary: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_inputs(summary) @ self.weights, -60, 60)))
 
 
-def _calibrate(largest: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on the logit of the largest marginal, with a weak prior."""
-    x = np.clip(largest, 1e-6, 1 - 1e-6)
-    X, prior = np.stack([np.log(x / (1 - x)), np.ones(len(x))], axis=1), np.array([1.0, 0.0])
+def _summary(n: int, doc: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Largest marginal, sum of the marginals of at least 0.2, and words of each of ``n`` texts."""
+    largest = np.zeros(n)
+    np.maximum.at(largest, doc, p)
+    return np.stack([largest, np.bincount(doc, np.where(p >= 0.2, p, 0), n), np.bincount(doc, minlength=n)], axis=1)
+
+
+def _inputs(summary: np.ndarray) -> np.ndarray:
+    x = np.clip(summary[:, 0], 1e-4, 1 - 1e-4)
+    return np.stack([np.log(x / (1 - x)), np.log1p(summary[:, 1]), summary[:, 1] / np.sqrt(1 + summary[:, 2]), np.ones(len(x))], axis=1)
+
+
+def _calibrate(summary: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression on a document's marginals, with a weak prior, by damped Newton steps."""
+    X, prior = _inputs(summary), np.array([0.5, 1.0, 1.0, 0.0])
 
     def loss(w: np.ndarray) -> float:
         z = X @ w
-        return float(np.logaddexp(0, z).sum() - (y * z).sum() + ((w - prior) ** 2).sum())
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * ((w - prior) ** 2).sum())
 
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
-        step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + 2 * np.eye(2), X.T @ (y - p) - 2 * (w - prior))
+        step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + np.eye(4), X.T @ (y - p) - (w - prior))
         size = 1.0
         while size > 1e-6 and loss(w + size * step) > loss(w):
             size /= 2
         w = w + size * step
-    return float(max(w[0], 1e-3)), float(w[1])
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Toxicity | None:
@@ -102,15 +119,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Toxic
     texts = sorted({(r[0], r[1]) for r in rows})
     words = [[clean(c) for c in t.split()] for _, t in texts]
     y = np.array([t[0] for t in texts])
-    bad = set(lexicon([(k, set(w) - {""}) for k, w in zip(y, words)]))
+    bad = lexicon([(k, [x for x in w if x]) for k, w in zip(y, words)])
     tagged = [(w, np.array([int(bool(k) and not stems({x}).isdisjoint(bad)) for x in w], np.int64)) for k, w in zip(y, words)]
     model = train(["fine", "toxic"], [(w[i : i + PIECE], t[i : i + PIECE]) for w, t in tagged for i in range(0, len(w), PIECE)], prefix=STEM[1])
-    largest = np.zeros(len(texts))
+    summary = np.zeros((len(texts), 3))
     for part, doc, letters, p in Scorer(model).marginals([t for _, t in texts]):
-        m = np.zeros(len(part))
-        np.maximum.at(m, doc[letters], p[letters, 1])
-        largest[part] = m
-    return Toxicity(model, *_calibrate(largest, y))
+        summary[part] = _summary(len(part), doc, np.where(letters, p[:, 1], 0))
+    return Toxicity(model, _calibrate(summary, y))
 
 
 SCORED = "doc_id long, score double, spans array<struct<begin:int,end:int,p:double>>"
@@ -127,20 +142,18 @@ def score_toxicity(docs: DataFrame, model: Toxicity | None, span_at: float = 0.5
         scorer = Scorer(tox.model) if tox else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            largest, spans = np.zeros(len(texts)), [[] for _ in texts]
+            summary, spans = np.zeros((len(texts), 3)), [[] for _ in texts]
             for part, doc, letters, p in scorer.marginals(texts) if scorer else ():
                 p = np.where(letters, p[:, 1], 0)
-                m = np.zeros(len(part))
-                np.maximum.at(m, doc, p)
-                largest[part] = m
+                summary[part] = own = _summary(len(part), doc, p)
                 starts = np.searchsorted(doc, np.arange(len(part) + 1))
-                for i in np.flatnonzero(m >= span_at):
-                    own = p[starts[i] : starts[i + 1]]
-                    at = np.flatnonzero(own >= span_at)
+                for i in np.flatnonzero(own[:, 0] >= span_at):
+                    mine = p[starts[i] : starts[i + 1]]
+                    at = np.flatnonzero(mine >= span_at)
                     places = [x.span() for x in re.finditer(r"\S+", texts[part[i]])]
-                    if len(places) == len(own):
-                        spans[part[i]] = [{"begin": places[k][0], "end": places[k][1], "p": float(own[k])} for k in at]
-            score = tox.score(largest) if tox else largest
+                    if len(places) == len(mine):
+                        spans[part[i]] = [{"begin": places[k][0], "end": places[k][1], "p": float(mine[k])} for k in at]
+            score = tox.score(summary) if tox else summary[:, 0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], names=["doc_id", "score", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
