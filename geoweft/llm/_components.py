@@ -1,44 +1,5 @@
-"""Connected components of a link table by alternating large-star and small-star steps.
+"""Connected components; see ``plans.components``."""
 
-Kiveris et al., "Connected components in MapReduce and beyond" (2014).  Each step is one aggregation
-and one join, written to the shared folder; nothing but a count and a checksum reaches the driver.
-"""
+from ..plans.components import components as connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ._store import materialize
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
-def _large(edges: DataFrame) -> DataFrame:
-    """(u, v) both ways -> larger neighbours of u point to the least neighbour."""
-    both = edges.union(edges.select("v", "u")).distinct()
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    """Smaller neighbours of u, and u itself, point to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    rest = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (least node reachable) of every node of ``edges`` (u, v long); loops are ignored."""
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = _state(edges)
-    while state[0]:
-        edges = materialize(_small(_large(edges)), "stars")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["connected_components"]

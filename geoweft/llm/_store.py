@@ -1,36 +1,5 @@
-"""Shared folder for intermediate tables.
+"""Shared folder for intermediate tables; see ``plans.store``."""
 
-Lineage is cut by writing a table to the folder named in ``spark.checkpoint.dir`` and reading it
-back, so a lost executor never costs more than the stage it ran.  A folder of our own is used only
-where the setting is absent, which is the case in local tests.
-"""
+from ..plans.store import materialize, new_path, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder seen by the driver and by every executor."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geoweft-"))
-        found = jsc.getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/geoweft/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a frame that reads it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "new_path", "shared_dir"]
