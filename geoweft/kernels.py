@@ -12,6 +12,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 
 Geometry = list[list[np.ndarray]]
 EPS = 1e-9
@@ -79,7 +80,6 @@ def contains(geom: Geometry, pts: np.ndarray, boundary: bool = True) -> np.ndarr
 
 def contains_column(region):
     """A function of two columns: whether the place lies in ``region``."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     geom = to_numpy(region)
@@ -114,7 +114,6 @@ def convex_hull(pts: np.ndarray) -> np.ndarray:
 
 def hull_candidates(df, x="x", y="y") -> np.ndarray:
     """Points of the hulls of all partitions: a superset of the hull's vertices, whatever the table's size."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     def run(batches):

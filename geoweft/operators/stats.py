@@ -104,7 +104,7 @@ def ols(df: DataFrame, dependent: str, explanatory: list[str]) -> dict[str, Data
     for i, name in enumerate(names):
         se = math.sqrt(cov[i, i])
         t = float(beta[i] / se) if se > 0 else math.inf
-        rows.append((name, float(beta[i]), se, t, t_tail(t, df2) if math.isfinite(t) else 0.0, int(n), float(r2), float(1 - (1 - r2) * (n - 1) / df2), float(fv), f_tail(fv, k - 1, df2) if math.isfinite(fv) else 0.0, float(math.sqrt(s2)), float(aic), float(aic + 2 * (k + 1) * (k + 2) / (n - k - 2))))
+        rows.append((name, float(beta[i]), se, t, float(t_tail(t, df2)) if math.isfinite(t) else 0.0, int(n), float(r2), float(1 - (1 - r2) * (n - 1) / df2), float(fv), float(f_tail(fv, k - 1, df2)) if math.isfinite(fv) else 0.0, float(math.sqrt(s2)), float(aic), float(aic + 2 * (k + 1) * (k + 2) / (n - k - 2))))
     report = spark.createDataFrame(rows, "variable string, coefficient double, std_error double, t double, p double, n long, r2 double, adj_r2 double, f double, f_p double, sigma double, aic double, aicc double")
     est = F.lit(float(beta[0]))
     for i in range(1, k):
@@ -149,9 +149,7 @@ def quadrat(df: DataFrame, cell_size: float = 0.0, x="x", y="y") -> DataFrame:
     mean = e.n / k
     order = Window.orderBy("k")  # one row a distinct count
     obs = F.sum("f").over(order) / k
-    fact = F.aggregate(F.when(F.col("k") > 0, F.sequence(F.lit(1), F.col("k").cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
     upto = F.aggregate(F.sequence(F.lit(0), F.col("k").cast("int")), F.struct(F.lit(math.exp(-mean)).alias("t"), F.lit(0.0).alias("s")), lambda a, i: F.struct((a.t * F.lit(mean) / (i + 1)).alias("t"), (a.s + a.t).alias("s")))["s"]
-    _ = fact
     q = freq.withColumn("d", F.abs(obs - upto))
     return q.agg(F.lit(e.n).cast("long").alias("points"), F.lit(k).cast("long").alias("cells"), F.lit(float(size)).alias("cell_size"), F.lit(mean).alias("mean"), (F.sum(F.col("f") * F.pow(F.col("k") - mean, F.lit(2))) / k).alias("variance"), F.max("d").alias("ks"), F.lit(1.36 / math.sqrt(k)).alias("critical")).withColumn("vmr", F.col("variance") / F.col("mean"))
 

@@ -155,19 +155,28 @@ def thin_plate_spline(df: DataFrame, field: str, cell: float = 0.0, extent=None)
     if n > MAX_SPLINE_POINTS:
         raise ValueError(f"{n} sample points; a spline is solved for at most {MAX_SPLINE_POINTS}")
     p = s.toPandas().to_numpy(float)
-    d = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
-    u = np.where(d > 0, d * d * np.log(np.where(d > 0, d, 1)), 0)
+    low, span = p[:, :2].min(axis=0), max(float(np.ptp(p[:, :2], axis=0).max()), 1e-12)
+    p[:, :2] = (p[:, :2] - low) / span  # the spline does not depend on scale; the solve does
+
+    def basis(x, y):
+        q2 = (x[:, None] - p[:, 0]) ** 2 + (y[:, None] - p[:, 1]) ** 2
+        return np.where(q2 > 0, 0.5 * q2 * np.log(np.where(q2 > 0, q2, 1)), 0)
+
     m = np.zeros((n + 3, n + 3))
-    m[:n, :n], m[:n, n], m[:n, n + 1 :], m[n, :n], m[n + 1 :, :n] = u, 1, p[:, :2], 1, p[:, :2].T
-    w = np.linalg.lstsq(m, np.concatenate([p[:, 2], [0, 0, 0]]), rcond=None)[0]
+    m[:n, :n], m[:n, n], m[:n, n + 1 :], m[n, :n], m[n + 1 :, :n] = basis(p[:, 0], p[:, 1]), 1, p[:, :2], 1, p[:, :2].T
+    right = np.concatenate([p[:, 2], [0, 0, 0]])
+    try:
+        w = np.linalg.solve(m, right)
+    except np.linalg.LinAlgError:  # fewer than three points, or all on a line
+        w = np.linalg.lstsq(m, right, rcond=None)[0]
 
     @F.pandas_udf("double")
     def value(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.empty(len(x))
-        X, Y = x.to_numpy(), y.to_numpy()
+        X, Y = (x.to_numpy() - low[0]) / span, (y.to_numpy() - low[1]) / span
         for a in range(0, len(X), 2000):
-            q = np.hypot(X[a : a + 2000, None] - p[:, 0], Y[a : a + 2000, None] - p[:, 1])
-            out[a : a + 2000] = np.where(q > 0, q * q * np.log(np.where(q > 0, q, 1)), 0) @ w[:n] + w[n] + w[n + 1] * X[a : a + 2000] + w[n + 2] * Y[a : a + 2000]
+            u, v = X[a : a + 2000], Y[a : a + 2000]
+            out[a : a + 2000] = basis(u, v) @ w[:n] + w[n] + w[n + 1] * u + w[n + 2] * v
         return pd.Series(out)
 
     g = _cells_xy(df.sparkSession, meta)
