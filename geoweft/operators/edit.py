@@ -52,17 +52,12 @@ def flip_line(df: DataFrame) -> DataFrame:
 
 
 def densify(df: DataFrame, tolerance: str) -> DataFrame:
-    """Vertices so that no segment is longer than the tolerance."""
-    t = F.expr(tolerance).cast("double")
+    """Vertices so that no segment is longer than the tolerance.
 
-    def path(r):
-        def piece(e):
-            n = F.greatest(F.ceil(F.hypot(e.b.x - e.a.x, e.b.y - e.a.y) / t - 1e-12).cast("int"), F.lit(1))
-            return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((e.a.x + (e.b.x - e.a.x) * i / n).alias("x"), (e.a.y + (e.b.y - e.a.y) * i / n).alias("y")))
-
-        return F.concat(F.slice(r, 1, 1), F.flatten(F.transform(E.pairs(r), piece)))
-
-    return df.withColumn("geom", F.transform("geom", lambda p: F.transform(p, path)))
+    In numpy: an expression with a captured lambda variable cannot feed a later Python function.
+    """
+    d = df.withColumn("_t", F.expr(tolerance).cast("double")).where("_t > 0")
+    return d.withColumn("geom", geometry_udf(lambda g, t: [[K.densify(r, float(t)) for r in p] for p in g], F.col("_t"))).drop("_t")
 
 
 def _simple(g: K.Geometry, t: float, topology: bool) -> K.Geometry | None:
