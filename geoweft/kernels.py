@@ -615,44 +615,54 @@ def variable_buffer(path: np.ndarray, start: float, end: float, segments: int =
 
 
 def delaunay(pts: np.ndarray) -> np.ndarray:
-    """Triangles of point numbers by incremental insertion (Bowyer-Watson) along x."""
+    """Triangles of point numbers by incremental insertion (Bowyer-Watson) along x.
+
+    A fixed jitter of 1e-9 of the extent decides ties (points on one circle or line); triangles that
+    only the jitter made are dropped.
+    """
     n = len(pts)
     if n < 3:
         return np.empty((0, 3), int)
     lo, hi = pts.min(axis=0), pts.max(axis=0)
     scale = max(float((hi - lo).max()), 1e-12)
     p = (pts - (lo + hi) / 2) / scale
-    p = np.concatenate([p, [[-40, -30], [40, -30], [0, 50]]])
-    order = np.lexsort((p[:n, 1], p[:n, 0]))
-
-    def circum(t):
-        a, b, c = p[t[0]], p[t[1]], p[t[2]]
-        d = 2 * ((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
-        if abs(d) < 1e-16:
-            return 0.0, 0.0, math.inf
-        q, r = (b - a) @ (b - a), (c - a) @ (c - a)
-        ux, uy = (q * (c[1] - a[1]) - r * (b[1] - a[1])) / d, (r * (b[0] - a[0]) - q * (c[0] - a[0])) / d
-        return a[0] + ux, a[1] + uy, ux * ux + uy * uy
-
-    open_, done = {(n, n + 1, n + 2): circum((n, n + 1, n + 2))}, []
+    q = (p + np.random.default_rng(7).uniform(-1e-9, 1e-9, p.shape)).tolist() + [(-4e5, -3e5), (4e5, -3e5), (0.0, 5e5)]
+    order = sorted(range(n), key=lambda i: q[i])
+
+    def made(a: int, b: int, c: int):
+        (ax, ay), (bx, by), (cx, cy) = q[a], q[b], q[c]
+        bx, by, cx, cy = bx - ax, by - ay, cx - ax, cy - ay
+        d = 2 * (bx * cy - by * cx)
+        if d < 0:
+            b, c, bx, by, cx, cy, d = c, b, cx, cy, bx, by, -d
+        r, s = bx * bx + by * by, cx * cx + cy * cy
+        ux, uy = (r * cy - s * by) / (d or 1e-300), (s * bx - r * cx) / (d or 1e-300)
+        return (a, b, c), ax + ux + math.hypot(ux, uy) * (1 + 1e-9) + 1e-9  # the circle's right end
+
+    def inside(t, x: float, y: float) -> bool:
+        (ax, ay), (bx, by), (cx, cy) = q[t[0]], q[t[1]], q[t[2]]
+        ax, ay, bx, by, cx, cy = ax - x, ay - y, bx - x, by - y, cx - x, cy - y
+        return (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
+
+    open_, done = dict([made(n, n + 1, n + 2)]), []
     for i in order:
-        x, y = p[i]
+        x, y = q[i]
         edges: dict[tuple, int] = {}
-        for t, (cx, cy, r2) in list(open_.items()):
-            if x - cx > 0 and (x - cx) ** 2 > r2:
+        for t, right in list(open_.items()):
+            if x > right:
                 done.append(t)
                 del open_[t]
-            elif (x - cx) ** 2 + (y - cy) ** 2 <= r2 * (1 + 1e-12):
+            elif inside(t, x, y):
                 del open_[t]
                 for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
                     k = (min(e), max(e))
                     edges[k] = edges.get(k, 0) + 1
         for (a, b), c in edges.items():
             if c == 1:
-                t = (a, b, int(i))
-                open_[t] = circum(t)
+                t, right = made(a, b, i)
+                open_[t] = right
     out = [t for t in [*done, *open_] if max(t) < n]
-    out = [t for t in out if abs((p[t[1]] - p[t[0]])[0] * (p[t[2]] - p[t[0]])[1] - (p[t[1]] - p[t[0]])[1] * (p[t[2]] - p[t[0]])[0]) > 1e-13]
+    out = [t for t in out if abs((p[t[1]] - p[t[0]])[0] * (p[t[2]] - p[t[0]])[1] - (p[t[1]] - p[t[0]])[1] * (p[t[2]] - p[t[0]])[0]) > 1e-8]
     return np.array(sorted(tuple(sorted(t)) for t in out), int).reshape(-1, 3)
 
 

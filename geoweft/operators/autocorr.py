@@ -14,9 +14,35 @@ from ..functions.expr import finite, zprob
 from ..plans import weights as W
 
 
+def safe(sql: str) -> str:
+    """Every divisor as nullif(divisor, 0), so that ANSI mode gives null where a statistic is undefined."""
+    out, i = "", 0
+    while i < len(sql):
+        if sql[i] != "/":
+            out += sql[i]
+            i += 1
+            continue
+        j = i + 1
+        while sql[j] == " ":
+            j += 1
+        k = j
+        while k < len(sql) and (sql[k].isalnum() or sql[k] in "_."):
+            k += 1
+        if k < len(sql) and sql[k] == "(":
+            depth = 0
+            while True:
+                depth += {"(": 1, ")": -1}.get(sql[k], 0)
+                k += 1
+                if not depth:
+                    break
+        out += f"/ nullif({safe(sql[j:k])}, 0)"
+        i = k
+    return out
+
+
 def _moments(ev: DataFrame) -> DataFrame:
     first = ev.agg(F.count("*").cast("double").alias("n"), F.sum("xv").alias("sx"), F.sum("yv").alias("sy"), F.sum(F.pow("xv", F.lit(2))).alias("sx2"), F.sum(F.pow("xv", F.lit(3))).alias("sx3"), F.sum(F.pow("xv", F.lit(4))).alias("sx4"))
-    first = first.withColumn("mx", F.col("sx") / F.col("n")).withColumn("my", F.col("sy") / F.col("n"))
+    first = first.withColumn("mx", F.try_divide("sx", "n")).withColumn("my", F.try_divide("sy", "n"))
     z, y = F.col("xv") - F.col("mx"), F.col("yv") - F.col("my")
     second = ev.select("xv", "yv").crossJoin(F.broadcast(first.select("mx", "my"))).agg(F.sum(z * z).alias("z2"), F.sum(z * z * z * z).alias("z4"), F.sum(y * y).alias("y2"))
     return first.crossJoin(second)
@@ -44,7 +70,7 @@ def _totals(ev: DataFrame, p: DataFrame, how: str) -> DataFrame:
 
 
 def _result(t: DataFrame, observed: str, expected: str, variance: str) -> DataFrame:
-    out = t.select(F.expr(observed).alias("observed"), F.expr(expected).cast("double").alias("expected"), F.expr(variance).cast("double").alias("variance"))
+    out = t.select(F.coalesce(F.expr(safe(observed)).cast("double"), F.lit(0.0)).alias("observed"), F.coalesce(F.expr(safe(expected)).cast("double"), F.lit(0.0)).alias("expected"), F.coalesce(F.expr(safe(variance)).cast("double"), F.lit(0.0)).alias("variance"))
     out = out.withColumn("z_score", F.when(F.col("variance") > 0, (F.col("observed") - F.col("expected")) / F.sqrt("variance")).otherwise(0.0))
     return out.withColumn("p_value", zprob("z_score"))
 
@@ -97,7 +123,7 @@ def global_lees_l(df, x_field, y_field, concept="InverseDistance", method="Eucli
 
 def _shares(ev: DataFrame) -> DataFrame:
     t = ev.agg(F.sum("xv").alias("_sx"), F.sum("yv").alias("_sy"))
-    return ev.crossJoin(F.broadcast(t)).select("id", "x", "y", (F.col("xv") / F.col("_sx")).alias("r"), (F.col("yv") / F.col("_sy")).alias("p"), F.col("_sx").alias("sx"))
+    return ev.crossJoin(F.broadcast(t)).select("id", "x", "y", F.try_divide("xv", "_sx").alias("r"), F.try_divide("yv", "_sy").alias("p"), F.col("_sx").alias("sx"))
 
 
 def _rogerson_pairs(s: DataFrame, method: str, kappa: float) -> DataFrame:
@@ -127,20 +153,20 @@ def join_count(df: DataFrame, black: str, contiguity: DataFrame, fid: str = "id"
     t = f.join(per, "id", "left").na.fill(0).agg(F.count("*").alias("n"), F.sum(F.expr("int(b)")).alias("black"), F.sum("bb").alias("bb"), F.sum("ww").alias("ww"), F.sum("bw").alias("bw"), F.sum("k").alias("joins"), (F.sum(F.expr("k * (k - 1)")) / 2).alias("m"))
     t = t.withColumn("pb", F.col("black") / F.col("n")).withColumn("pw", 1 - F.col("black") / F.col("n")).withColumn("k", F.col("joins").cast("double"))
     sd = lambda q: f"sqrt(k * power({q}, 2) + 2 * m * power({q}, 3) - (k + 2 * m) * power({q}, 4))"
-    out = t.select("n", "black", (F.col("n") - F.col("black")).alias("white"), "bb", "ww", "bw", *[F.expr(e).alias(a) for a, e in (("expected_bb", "k * pb * pb"), ("expected_ww", "k * pw * pw"), ("expected_bw", "2 * k * pb * pw"), ("sd_bb", sd("pb")), ("sd_ww", sd("pw")), ("sd_bw", "sqrt(2 * (k + m) * pb * pw - 4 * (k + 2 * m) * pb * pb * pw * pw)"))])
+    out = t.select("n", "black", (F.col("n") - F.col("black")).alias("white"), "bb", "ww", "bw", *[F.expr(safe(e)).alias(a) for a, e in (("expected_bb", "k * pb * pb"), ("expected_ww", "k * pw * pw"), ("expected_bw", "2 * k * pb * pw"), ("sd_bb", sd("pb")), ("sd_ww", sd("pw")), ("sd_bw", "sqrt(2 * (k + m) * pb * pw - 4 * (k + 2 * m) * pb * pb * pw * pw)"))])
     for c in ("bb", "ww", "bw"):
-        out = out.withColumn(f"z_{c}", (F.col(c) - F.col(f"expected_{c}")) / F.col(f"sd_{c}"))
+        out = out.withColumn(f"z_{c}", F.try_divide(F.col(c) - F.col(f"expected_{c}"), F.col(f"sd_{c}")))
     return out
 
 
 def _local(df: DataFrame, s: DataFrame, index: str, z: str, names: tuple[str, str, str], fid: str, extra: dict[str, str] | None = None) -> DataFrame:
-    s = s.withColumn("_index", F.expr(index)).withColumn("_z", F.expr(z))
+    s = s.withColumn("_index", F.expr(safe(index)).cast("double")).withColumn("_z", F.expr(safe(z)).cast("double"))
     bad = F.col("_z").isNull() | F.isnan("_z") | (F.abs("_z") == float("inf"))
     s = s.withColumn("_bad", bad).withColumn("_index", F.when(bad, 0.0).otherwise(F.col("_index"))).withColumn("_z", F.when(bad, 0.0).otherwise(F.col("_z")))
     p = F.when(F.col("_bad"), 1.0).otherwise(zprob("_z"))
     cols = [F.round("_index", 8).alias(names[0])] if names[0] else []
     cols += [F.round("_z", 8).alias(names[1]), F.round(p, 8).alias(names[2])]
-    cols += [F.expr(e).alias(n) for n, e in (extra or {}).items()]
+    cols += [F.expr(safe(e)).alias(n) for n, e in (extra or {}).items()]
     r = s.select(F.col("id").alias("_id"), *cols)
     return df.join(r, df[fid] == r["_id"]).drop("_id")
 
@@ -200,7 +226,7 @@ def focal_lq(df, x_field, y_field, concept="FixedDistance", method="Euclidean",
     """Location quotient over neighbours including the feature itself, unweighted."""
     ev, p = _pairs(df, x_field, y_field, concept, method, band, 8, True, None, fid)
     per = p.where("w <> 0").groupBy("id").agg(F.sum("xv2").alias("lx"), F.sum("yv2").alias("ly"))
-    t = ev.agg((F.sum("xv") / F.sum("yv")).alias("g"))
+    t = ev.agg(F.try_divide(F.sum("xv"), F.sum("yv")).alias("g"))
     s = ev.join(per, "id", "left").crossJoin(F.broadcast(t))
     own = F.when(F.col("xv") != 0, F.try_divide(F.col("yv"), F.col("xv"))).otherwise(0.0)
     near = F.when(F.col("ly") != 0, F.try_divide(F.col("lx"), F.col("ly"))).otherwise(0.0)
@@ -213,9 +239,9 @@ def standardized_scores(df: DataFrame, x_field: str, y_field: str, target: str =
     x, y = F.expr(x_field).cast("double"), F.expr(y_field).cast("double")
     known = df.withColumn("_x", x).withColumn("_y", y).where("_x is not null and _y is not null")
     t = known.agg(F.sum("_x").alias("_sx"), F.sum("_y").alias("_sy"))
-    d = known.crossJoin(F.broadcast(t)).withColumn("_d", F.col("_x") / F.col("_sx") - F.col("_y") / F.col("_sy"))
+    d = known.crossJoin(F.broadcast(t)).withColumn("_d", F.try_divide("_x", "_sx") - F.try_divide("_y", "_sy"))
     sd = d.agg(F.sqrt(F.sum(F.col("_d") * F.col("_d")) / F.count("*")).alias("_sd"))
-    return d.crossJoin(F.broadcast(sd)).withColumn(target, F.col("_d") / F.col("_sd")).drop("_x", "_y", "_sx", "_sy", "_d", "_sd")
+    return d.crossJoin(F.broadcast(sd)).withColumn(target, F.try_divide("_d", "_sd")).drop("_x", "_y", "_sx", "_sy", "_d", "_sd")
 
 
 LOCAL = {"MoranI": local_morans_i, "GetisOrdGiStar": local_g, "GearyC": local_gearys_c, "LeeS": local_lees_s}

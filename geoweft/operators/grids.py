@@ -181,6 +181,12 @@ def polar_grids(origins: DataFrame, radii: list[float], kind: str = "Polar", sid
     return d.drop("_r", "_i")
 
 
+def polar_grids_from_point(spark: SparkSession, origin: tuple[float, float], radii: list[float], kind: str = "Polar", sides: int = 8) -> DataFrame:
+    """The same round one place."""
+    one = spark.createDataFrame([(1, float(origin[0]), float(origin[1]))], "fid int, x double, y double")
+    return polar_grids(one, radii, kind, sides)
+
+
 def random_points(spark: SparkSession, extent: Extent, count: int = 1000, polygons: DataFrame | None = None, seed: int = 1) -> DataFrame:
     """Uniform points in the extent or in the polygons (by area), weight 1; seeded."""
     if polygons is None:
