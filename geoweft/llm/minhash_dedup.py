@@ -8,8 +8,10 @@ chunk are enumerated by leaving out each of its symbols in turn.
 
 Equal shingle sets are one class before anything is joined.  Buckets are resolved in rounds: each
 class is first verified against one leader, then against the leaders of other components in its
-buckets, and what is still in different components is compared in full, in blocks of bounded size.
-Pairs already in one component need no link.  All links are confirmed on full shingle sets.
+buckets.  Documents of buckets that still hold several components are compared through their rarest
+shingles (prefix filter with positions), in blocks of bounded size, which loses no link and does not
+list the pairs of a group.  Pairs already in one component need no link.  All links are confirmed on
+full shingle sets.
 
 Defined results: null or empty text has no shingles and no links; fewer words than a shingle make
 one shingle of all words; rows with equal doc_id are one node; a null doc_id takes no part
@@ -18,6 +20,8 @@ one shingle of all words; rows with equal doc_id are one node; a null doc_id tak
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -171,27 +175,86 @@ def _labelled(rows: DataFrame, parts: DataFrame, name: str, out: str) -> DataFra
     return rows.join(parts.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
 
 
-def _block_pairs(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket in different components within the signature distance, compared block by block."""
-    sized = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y"), "key")
-    sized = sized.withColumn("s", F.ceil(F.col("c") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("s")))
-    sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    sized = sized.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "comp").join(reps.select("rep", "sig", "n"), "rep")
+def _prefixes(open_: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """shingle, rep, comp, n, pos: the rarest shingles of each open document, in order of rarity.
+
+    Sets of the similarity differ in so few shingles that one of the n - ceil(t n) + 1 rarest of each
+    is common (prefix filter).  Shingles that no other open document has only take up positions.
+    """
+    ids = materialize(open_.select("rep").distinct(), "open-ids")
+    few = ids.count() <= BROADCAST_IDS
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for at in range(0, len(texts), 200):
+                sets = [shingle_set(t, width) for t in texts[at : at + 200]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(keys[at : at + 200], [len(x) for x in sets]))], names=["shingle", "rep"])
+
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    rows = materialize(text.mapInArrow(run, "shingle long, rep long"), "open-shingles")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    listed = rows.join(shared, "shingle").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("l"))
+    head = listed.join(open_, "rep").withColumn("own", F.greatest(F.col("n") - F.size("l"), F.lit(0)))
+    head = head.withColumn("k", F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - F.col("own")).where("k > 0")
+    head = head.select("rep", "comp", "n", "own", F.posexplode(F.slice("l", 1, F.col("k").cast("int"))).alias("at", "e"))
+    return head.select("e.shingle", "rep", "comp", "n", (F.col("own") + F.col("at")).alias("pos"))
+
+
+def _open_pairs(buckets: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of different components that may reach the similarity, among documents whose buckets hold several.
+
+    Documents with a common prefix shingle are compared block by block; the positions of that shingle
+    bound the common rest, and only pairs within the bound leave the task.
+    """
+    mixed = buckets.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    open_ = materialize(buckets.join(mixed, "key").select("rep", "comp").distinct().join(reps.select("rep", "n"), "rep"), "open")
+    heads = materialize(_prefixes(open_, docs, width, percent), "prefixes")
+    several = heads.groupBy("shingle").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
+    rows = heads.join(several, "shingle").withColumn("s", F.ceil(F.col("c") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("s")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    rows = rows.select("shingle", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "comp", "n", F.col("pos").cast("long").alias("pos"))
+
+    def compare(lo: int, hi: int, mine, rep, comp, n, pos) -> np.ndarray:
+        first = np.flatnonzero(mine == lo)
+        second = first if lo == hi else np.flatnonzero(mine == hi)
+        found = []
+        for part in np.array_split(first, max(1, len(first) // 256)):
+            common = np.minimum((n - pos)[part][:, None], (n - pos)[second])
+            ok = 100 * common >= percent * (n[part][:, None] + n[second] - common)
+            ok &= comp[part][:, None] != comp[second]
+            if lo == hi:
+                ok &= rep[part][:, None] < rep[second]
+            i, j = np.nonzero(ok)
+            found.append(np.sort(np.stack([rep[part[i]], rep[second[j]]], axis=1), axis=1))
+        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+    def run(batches):
+        """Groups follow one another in sorted batches; the last one of a batch may go on in the next."""
+        import pyarrow as pa
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, n, comp, rep = _matrix(pdf.sig), pdf.n.to_numpy(), pdf.comp.to_numpy(), pdf.rep.to_numpy()
-        low, high = pdf.lo.iloc[0], pdf.hi.iloc[0]
-        first = np.flatnonzero(pdf.mine.to_numpy() == low)
-        second = first if low == high else np.flatnonzero(pdf.mine.to_numpy() == high)
-        found: list[tuple[int, int]] = []
-        for i in first:
-            js = second[(comp[second] != comp[i]) & (rep[second] > rep[i] if low == high else True)]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            js = js[(m[js] != m[i]).sum(axis=1) <= RADIUS]
-            found += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in js]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        rest = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                m = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                rest = m if rest is None else np.concatenate([rest, m], axis=1)
+            if rest is None or not rest.shape[1]:
+                continue
+            cuts = np.flatnonzero((rest[:3, 1:] != rest[:3, :-1]).any(axis=0)) + 1
+            ends = [*cuts.tolist(), *([rest.shape[1]] if batch is None else [])]
+            start, found = 0, [np.empty((0, 2), np.int64)]
+            for end in ends:
+                if end - start > 1:
+                    g = rest[:, start:end]
+                    found.append(compare(g[1, 0], g[2, 0], *g[3:]))
+                start = end
+            rest = rest[:, start:]
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return sized.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+    return rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -212,7 +275,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     across = _labelled(_labelled(pairs, parts, "rep", "comp"), parts, "lead", "other").where("comp <> other")
     links = links.union(_confirm(_within(across.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent), docs, width, percent))
     parts = materialize(connected_components(links), "components")
-    rest = _block_pairs(_labelled(buckets.select("key", "rep"), parts, "rep", "comp"), reps, percent)
+    rest = _open_pairs(_labelled(buckets.select("key", "rep"), parts, "rep", "comp"), reps, docs, width, percent)
     links = links.union(_confirm(rest, docs, width, percent))
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     parts = materialize(connected_components(links.union(same)), "components")
