@@ -70,7 +70,9 @@ class Items:
         """Positions and codes of the n-grams that some item has."""
         codes = self.codes(ids)
         at = np.flatnonzero(codes >= 0)
-        at = at[np.isin(codes[at], self.sorted)] if len(at) else at
+        if len(at) and len(self.sorted):
+            near = np.minimum(np.searchsorted(self.sorted, codes[at]), len(self.sorted) - 1)
+            at = at[self.sorted[near] == codes[at]]
         return at, codes[at]
 
     def keep_rare(self, frequency: dict[int, int]) -> None:
@@ -151,17 +153,34 @@ def _search(spark, pairs: DataFrame, block: Items, threshold: float) -> DataFram
         return spark.createDataFrame([], FOUND)
     whole = spark.sparkContext.broadcast(block)
 
+    def encode(batches):
+        import pyarrow as pa
+
+        items = whole.value
+        for batch in batches:
+            docs, size, coded = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = items.encode(text)
+                if len(items.hits(ids)[0]):
+                    docs.append(doc)
+                    size.append(len(ids))
+                    coded.append(ids.astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(size, pa.int32()), pa.array(coded, pa.binary())], names=["doc_id", "text_words", "ids"])
+
+    # whole texts as word numbers of the block, for the documents that share any n-gram with it
+    coded = materialize(pairs.mapInArrow(encode, "doc_id long, text_words int, ids binary"), "coded-texts")
+
     def count(batches):
         import pyarrow as pa
 
         items, seen = whole.value, defaultdict(int)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for c in set(items.hits(items.encode(text))[1].tolist()):
+            for ids in batch.column(0).to_pylist():
+                for c in set(items.hits(np.frombuffer(ids, "<i4").astype(np.int64))[1].tolist()):
                     seen[c] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
 
-    counted = pairs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n"))
+    counted = coded.select("ids").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n"))
     block.keep_rare({r[0]: r[1] for r in counted.collect()})  # n-grams of the block at most
     rare = spark.sparkContext.broadcast(block)
 
@@ -171,14 +190,14 @@ def _search(spark, pairs: DataFrame, block: Items, threshold: float) -> DataFram
         items = rare.value
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = items.encode(text)
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                ids = np.frombuffer(ids, "<i4").astype(np.int64)
                 for k, score, start, end in _matches(items, ids, threshold):
                     for c, v in zip(cols, (doc, items.ids[k], score, start, end, len(ids))):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return pairs.mapInArrow(search, FOUND)
+    return coded.mapInArrow(search, FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
