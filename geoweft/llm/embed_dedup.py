@@ -168,7 +168,7 @@ def embedding_links(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     budget = 2 * (1 - cosine)
     known = materialize(_vectors(table).withColumn("row", F.monotonically_increasing_id()), "vectors")
     valid = known.where("raw is not null")
-    node = F.coalesce(F.col("vec_id"), -F.col("row") - (1 << 62))
+    node = F.coalesce(F.col("vec_id"), F.col("row") + (1 << 62))
     classes = materialize(valid.groupBy("label", "dims", "h", "g").agg(F.min(F.struct(node.alias("rep"), "row")).alias("m"), F.count("*").alias("n")), "classes")
     classes = classes.select("label", "dims", "h", "g", "m.rep", F.col("m.row").alias("first"), "n")
     reps = valid.select("raw", "row").join(classes.select("rep", "label", "dims", "n", F.col("first").alias("row")), "row")
