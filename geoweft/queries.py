@@ -281,7 +281,7 @@ _INV, _FIX = ("CASE WHEN d <= 1 THEN 1 ELSE 1 / d END", "true"), ("1.0", "d <= 1
 
 
 def _global(concept, row, observed, expected, variance, own=False):
-    return f"WITH {_EV}, {_MO}, {_pairs_sql(*concept, own)}, {_sums_sql(row)}, {_TOT}, o AS (SELECT {observed} AS o, {expected} AS e, {variance} AS v FROM t, m, m4), z AS (SELECT o, e, v, CASE WHEN v > 0 THEN (o - e) / sqrt(v) ELSE 0 END AS z FROM o) SELECT {r6('o', 'observed')}, {r6('e', 'expected')}, {r6('v', 'variance')}, {r6('z', 'z_score')}, {r6(E.zprob_sql('z'), 'p_value')} FROM z"
+    return f"WITH {_EV}, {_MO}, {_pairs_sql(*concept, own)}, {_sums_sql(row)}, {_TOT}, o AS (SELECT CASE WHEN w <> 0 THEN {observed} ELSE 0 END AS o, coalesce({expected}, 0) AS e, CASE WHEN w <> 0 THEN {variance} ELSE 0 END AS v FROM t, m, m4), z AS (SELECT o, e, v, CASE WHEN v > 0 THEN (o - e) / sqrt(v) ELSE 0 END AS z FROM o) SELECT {r6('o', 'observed')}, {r6('e', 'expected')}, {r6('v', 'variance')}, {r6('z', 'z_score')}, {r6(E.zprob_sql('z'), 'p_value')} FROM z"
 
 
 @query(_global(_INV, True, "zw / ((z2 / n) * w)", "-1.0 / (n - 1)", "(n * ((n * n - 3 * n + 3) * S1 - n * S2 + 3 * w * w) - (z4 / n) / (z2 / n) ** 2 * ((n * n - n) * S1 - 2 * n * S2 + 6 * w * w)) / ((n - 1) * (n - 2) * (n - 3) * w * w) - 1 / (n - 1) ** 2"))
