@@ -290,3 +290,20 @@ def ring_map(df: DataFrame, fields: list[str], target: str = "ring_val", gap: in
     rings = long.withColumn("geom", sector(F.lit(cx), F.lit(cy), inner, inner + width, F.col("slot") * step, F.lit(step)))
     anchor = d.select("fid", "slot", F.array(F.array(F.array(F.struct(F.lit(cx).alias("x"), F.lit(cy).alias("y")), F.struct((F.lit(cx) + base * F.sin(F.radians((F.col("slot") + 0.5) * step))).alias("x"), (F.lit(cy) + base * F.cos(F.radians((F.col("slot") + 0.5) * step))).alias("y"))))).alias("geom"))
     return {"ringmap": rings, "anchor": anchor}
+
+
+def circle_map(df: DataFrame, field: str, fid="fid", x="x", y="y") -> dict[str, DataFrame]:
+    """Circles on a ring round the extent, one slot a feature by its angle, radius by the min-max scaled value; anchor lines lead back."""
+    from pyspark.sql import Window
+
+    e = cells.extent(df, x, y)
+    cx, cy, ring = (e.xmin + e.xmax) / 2, (e.ymin + e.ymax) / 2, math.hypot(e.xmax - e.xmin, e.ymax - e.ymin) / 1.6
+    step, top = 360 / max(1, e.n), ring * math.sin(math.radians(min(90.0, 180 / max(1, e.n))))
+    angle = F.pmod(F.degrees(F.atan2(F.col(x) - cx, F.col(y) - cy)) + 360, F.lit(360.0))
+    d = df.select(F.col(fid).alias("fid"), F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"), angle.alias("_a"), F.col(field).cast("double").alias("value")).where("value is not null")
+    d = d.withColumn("slot", F.row_number().over(Window.orderBy("_a", "fid")) - 1).crossJoin(F.broadcast(d.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))))
+    at = F.radians((F.col("slot") + 0.5) * step)
+    d = d.withColumn("x", F.lit(cx) + ring * F.sin(at)).withColumn("y", F.lit(cy) + ring * F.cos(at)).withColumn("radius", F.lit(top) * (0.1 + 0.9 * F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(1.0))))
+    d = d.drop("_a", "_lo", "_hi")
+    anchor = d.select("fid", F.array(F.array(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct("x", "y")))).alias("geom"))
+    return {"circles": d.withColumn("geom", circle(F.col("x"), F.col("y"), F.col("radius"))), "anchor": anchor}

@@ -521,6 +521,31 @@ def ring_map(s, d):
     return grids.ring_map(X.suppliers(s, d), ["v", "pop"])["ringmap"].drop("geom")
 
 
+@query(f"SELECT fid, (row_number() OVER (ORDER BY (degrees(atan2(x - (SELECT (min(x) + max(x)) / 2 FROM {S}), y - (SELECT (min(y) + max(y)) / 2 FROM {S}))) + 360) % 360, fid) - 1)::int AS slot, v AS value FROM {S}")
+def circle_map(s, d):
+    return grids.circle_map(X.suppliers(s, d), "v")["circles"].select("fid", "slot", "value")
+
+
+@query(f"SELECT date_trunc('day', ts)::varchar AS start, floor(x / 100)::bigint AS col, floor(y / 100)::bigint AS row, round(sum(value), 4) AS val, count(*) AS count FROM {T} WHERE value IS NOT NULL GROUP BY ALL", 4)
+def stream_binning_batch(s, d):
+    from .streaming.binning import stream_binning
+
+    return stream_binning(X.tracks(s, d), 100, 100, weight="value").withColumn("start", F.col("start").cast("string"))
+
+
+@query(f"SELECT count(*) AS n FROM {C} WHERE w > 100 AND seg LIKE 'B%' AND x BETWEEN 10 AND 500 AND y BETWEEN 20 AND 600")
+def ecql_filter(s, d):
+    from .functions.ecql import to_sql
+
+    return X.customers(s, d).where(to_sql("w > 100 AND seg LIKE 'B%' AND BBOX(geom, 10, 20, 500, 600)")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT k AS \"class\", round((SELECT min(w) + (max(w) - min(w)) * k / 5 FROM {C}), 4) AS break FROM range(6) t(k)", 4)
+def class_breaks(s, d):
+    b = vector.class_breaks(X.customers(s, d), "w", "EqualInterval", 5)
+    return s.createDataFrame(list(enumerate(map(float, b))), "class long, break double")
+
+
 # ---- H
 
 
