@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ._memory import hold
+
 
 def features(word: str, prefix: int = 3) -> list[str]:
     """Affixes (prefixes up to ``prefix`` letters), character 2- and 3-grams and the word itself (its lexicon entry)."""
@@ -94,7 +96,7 @@ class Crf:
 class Scorer:
     """Marginals of texts, with a bounded memory of word scores."""
 
-    def __init__(self, model: Crf, entries: int = 400_000, batch_words: int = 1_000_000):
+    def __init__(self, model: Crf, entries: int = 400_000, batch_words: int = 400_000):
         self.model, self.entries, self.batch_words = model, entries, batch_words
         self._reset()
 
@@ -114,7 +116,7 @@ class Scorer:
 
     def marginals(self, texts: list[str | None]):
         """Yields (positions in ``texts``, text number of each word, has letters, marginals)."""
-        split = [(t or "").split() for t in texts]
+        split = [(t or "").lower().split() for t in texts]
         lengths = np.array([len(s) for s in split], np.int64)
         order = [i for i in np.argsort(-lengths, kind="stable") if lengths[i]]
         at = 0
@@ -188,3 +190,16 @@ def train(states: list[str], sequences: list[tuple[list[str], np.ndarray]], upda
             g_trans += t_grad * t_grad
             trans += rate * t_grad / np.sqrt(g_trans)
     return Crf(states, weights, table.astype(np.float32), trans, prefix)
+
+
+_last: list[Scorer] = []
+
+
+def scorer_for(model: Crf | None) -> Scorer | None:
+    """The worker's scorer of this model, kept between tasks with its word scores."""
+    if model is None:
+        return None
+    hold("words", _last.clear)
+    if not _last or _last[0].model is not model:
+        _last[:] = [Scorer(model)]
+    return _last[0]

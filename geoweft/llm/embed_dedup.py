@@ -43,7 +43,8 @@ def _blocks(dims: int) -> list[slice]:
 
 
 def _vectors(table: DataFrame) -> DataFrame:
-    """vec_id, label, dims, raw (little-endian doubles), h, g; raw is null where nothing may link."""
+    """vec_id, label, dims, raw (little-endian, as wide as the column), h, g; raw is null where nothing may link."""
+    kind = "<f4" if dict(table.dtypes)["embedding"] == "array<float>" else "<f8"
 
     def run(batches):
         import pyarrow as pa
@@ -58,7 +59,7 @@ def _vectors(table: DataFrame) -> DataFrame:
                     x = np.asarray(v, "<f8")
                     if not np.isfinite(x).all() or not x.any():
                         x = None
-                b = None if x is None else (x + 0.0).tobytes()
+                b = None if x is None else (x + 0.0).astype(kind).tobytes()
                 d = xxhash.xxh3_128_digest(b or b"")
                 dims.append(0 if x is None else len(x))
                 raw.append(b)
@@ -71,7 +72,8 @@ def _vectors(table: DataFrame) -> DataFrame:
 
 
 def _unit(raw, dims: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dims)
+    raw = list(raw)
+    x = np.frombuffer(b"".join(raw), f"<f{len(raw[0]) // dims}").astype(np.float64).reshape(-1, dims)
     scale = np.abs(x).max(axis=1, keepdims=True)
     x = x / scale
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))

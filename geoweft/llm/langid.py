@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .crf import Crf, Scorer, clean, train
+from .crf import Crf, clean, scorer_for, train
 
 #: Bound of the labelled sample, documents a language.
 PER_LANGUAGE = 200
@@ -70,7 +70,7 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(sent.value) if sent.value else None
+        scorer = scorer_for(sent.value)
         for batch in batches:
             n = batch.num_rows
             lang, score, count, switches = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -97,7 +97,7 @@ def keep_identified(docs: DataFrame, model: Crf | None, least: float = 0.5) -> D
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(sent.value) if sent.value else None
+        scorer = scorer_for(sent.value)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for part, doc, letters, p in scorer.marginals(batch.column(batch.schema.get_field_index("text")).to_pylist()) if scorer else ():

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
+from ._memory import hold
 from ._store import materialize
 
 SYMBOLS, CHUNKS, RADIUS = 48, 12, 22
@@ -46,8 +47,10 @@ class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
+        if not self:
+            hold("word hashes", self.clear)
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 

@@ -17,7 +17,9 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-MEMO_ENTRIES = 600_000
+from ._memory import hold
+
+MEMO_ENTRIES = 500_000
 
 # The pre-token pattern and the normalizer for which the chunk path is exact.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -109,7 +111,12 @@ class ChunkEncoder:
         return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
+def _loaded(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path)
+
+
 def encoder(path: str) -> ChunkEncoder:
     """One encoder a worker process, kept between tasks."""
-    return ChunkEncoder(path)
+    hold("tokens", _loaded.cache_clear)
+    return _loaded(path)

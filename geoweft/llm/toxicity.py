@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .crf import Crf, Scorer, clean, train
+from .crf import Crf, Scorer, clean, scorer_for, train
 from .langid import held_out
 
 #: Bound of the labelled sample, documents a label.
@@ -139,7 +139,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity | None, span_at: float = 0.5
         import pyarrow as pa
 
         tox = sent.value
-        scorer = Scorer(tox.model) if tox else None
+        scorer = scorer_for(tox.model if tox else None)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             summary, spans = np.zeros((len(texts), 3)), [[] for _ in texts]
