@@ -110,6 +110,14 @@ def centroid(geom: Column) -> Column:
     return F.struct(moment("x").alias("x"), moment("y").alias("y"))
 
 
+def with_xy(df, x: str = "x", y: str = "y"):
+    """``df`` with coordinates; features of other shapes are placed at their centroid."""
+    if x in df.columns or "geom" not in df.columns:
+        return df
+    c = centroid(F.col("geom"))
+    return df.withColumn("_c", c).withColumn(x, F.col("_c.x")).withColumn(y, F.col("_c.y")).drop("_c")
+
+
 def zprob_sql(z: str) -> str:
     """Two-sided normal tail of ``z`` by Algorithm AS 66 (Hill 1973), as SQL."""
     # The coefficients of AS 66.

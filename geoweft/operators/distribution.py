@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import circle, path_length
+from ..functions.expr import circle, path_length, with_xy
 
 # Size names and their multiples.
 SIZES = {"1_STANDARD_DEVIATION": 1.0, "2_STANDARD_DEVIATION": 2.0, "3_STANDARD_DEVIATION": 3.0}
@@ -22,7 +22,7 @@ def _weight(weight: str | None) -> Column:
 
 
 def _input(df: DataFrame, weight: str | None, case: str | None, x: str, y: str) -> DataFrame:
-    return df.withColumn("_w", _weight(weight)).withColumn("_x", F.col(x).cast("double")).withColumn("_y", F.col(y).cast("double")).withColumn("_case", F.col(case).cast("string") if case else F.lit("ALL"))
+    return with_xy(df, x, y).withColumn("_w", _weight(weight)).withColumn("_x", F.col(x).cast("double")).withColumn("_y", F.col(y).cast("double")).withColumn("_case", F.col(case).cast("string") if case else F.lit("ALL"))
 
 
 def mean_center(df: DataFrame, weight: str | None = None, case: str | None = None, dimension: str | None = None, x="x", y="y") -> DataFrame:

@@ -26,11 +26,11 @@ def attribute_join(left: DataFrame, key: str, right: DataFrame, foreign: str, ho
 
 
 def _left(df: DataFrame, fid: str) -> DataFrame:
-    return df.select(F.col(fid).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return E.with_xy(df).select(F.col(fid).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
 
 def _right(df: DataFrame, fid: str) -> DataFrame:
-    return df.select(F.col(fid).alias("id2"), F.col("x").cast("double").alias("x2"), F.col("y").cast("double").alias("y2"))
+    return E.with_xy(df).select(F.col(fid).alias("id2"), F.col("x").cast("double").alias("x2"), F.col("y").cast("double").alias("y2"))
 
 
 def spatial_join(left: DataFrame, right: DataFrame, keep_all: bool = True, radius: float = 0.0, fid: str = "fid") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import with_xy
 from . import cells
 
 #: Pairs above which a concept without a band is refused.
@@ -12,8 +13,8 @@ MAX_PAIRS = 4_000_000_000
 
 
 def events(df: DataFrame, xv: str, yv: str | None = None, fid: str = "id", x: str = "x", y: str = "y") -> DataFrame:
-    """id, x, y, xv, yv; a null value counts as 1."""
-    return df.select(F.col(fid).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(xv).cast("double"), F.lit(1.0)).alias("xv"), (F.coalesce(F.col(yv).cast("double"), F.lit(1.0)) if yv else F.lit(1.0)).alias("yv"))
+    """id, x, y, xv, yv; a null value counts as 1, and other shapes than points stand at their centroid."""
+    return with_xy(df, x, y).select(F.col(fid).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(xv).cast("double"), F.lit(1.0)).alias("xv"), (F.coalesce(F.col(yv).cast("double"), F.lit(1.0)) if yv else F.lit(1.0)).alias("yv"))
 
 
 def distance(method: str = "Euclidean", a=("x", "y"), b=("x2", "y2")) -> Column:
