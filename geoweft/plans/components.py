@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
-        edges = materialize(_small(_large(edges)), "stars")
+        before, edges = edges, materialize(_small(_large(edges)), "stars")
+        discard(before)
         now = _state(edges)
         if now == state:
             break

@@ -99,3 +99,16 @@ def test_stream(spark, data, tmp_path):
     q.stop()
     total = spark.sql("SELECT sum(count) FROM bins").first()[0]
     assert total == t.count() == stream_binning(t, 100, 100).agg(F.sum("count")).first()[0]
+
+
+def test_store(spark):
+    import os
+
+    from geoweft.plans import store
+
+    t = store.materialize(spark.range(5), "five")
+    folder = t._stored_at.removeprefix("file:")
+    assert t.count() == 5 and os.path.isdir(folder)
+    store.discard(t)
+    assert not os.path.isdir(folder)
+    store.discard(spark.range(3))
