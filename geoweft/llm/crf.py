@@ -96,40 +96,50 @@ class Crf:
 class Scorer:
     """Marginals of texts, with a bounded memory of word scores."""
 
-    def __init__(self, model: Crf, entries: int = 400_000, batch_words: int = 400_000):
-        self.model, self.entries, self.batch_words = model, entries, batch_words
+    def __init__(self, model: Crf, entries: int = 500_000, batch_chars: int = 2_000_000):
+        self.model, self.entries, self.batch_chars = model, entries, batch_chars
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # chunk, and cleaned word, to row of scores
+        self.words: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.model.states)), np.float32)
         self.letters = np.zeros(0, bool)
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
-        new = [c for c in set(chunks) if c not in self.known]
-        if new:
-            cleaned = [clean(c) for c in new]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.scores = np.concatenate([self.scores, self.model.word_scores(cleaned)])
-            self.letters = np.concatenate([self.letters, np.fromiter(map(bool, cleaned), bool, len(new))])
+        fresh: list[str] = []
+        for c in set(chunks):
+            if c not in self.known:
+                w = clean(c)
+                row = self.words.get(w)
+                if row is None:
+                    row = self.words[w] = len(self.words)
+                    fresh.append(w)
+                self.known[c] = row
+        if fresh:
+            self.scores = np.concatenate([self.scores, self.model.word_scores(fresh)])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(bool, fresh), bool, len(fresh))])
         return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
     def marginals(self, texts: list[str | None]):
         """Yields (positions in ``texts``, text number of each word, has letters, marginals)."""
-        split = [(t or "").lower().split() for t in texts]
-        lengths = np.array([len(s) for s in split], np.int64)
-        order = [i for i in np.argsort(-lengths, kind="stable") if lengths[i]]
-        at = 0
-        while at < len(order):
-            part, total = [], 0
-            while at < len(order) and (not part or total + lengths[order[at]] <= self.batch_words):
-                part.append(order[at])
-                total += lengths[order[at]]
-                at += 1
-            rows = self._rows([c for i in part for c in split[i]])
-            layout = Layout(lengths[part])
+        sizes = np.array([len(t or "") for t in texts], np.int64)
+        order, at = np.argsort(-sizes, kind="stable"), 0
+        while at < len(order) and sizes[order[at]]:
+            end, total = at, 0
+            while end < len(order) and sizes[order[end]] and (end == at or total + sizes[order[end]] <= self.batch_chars):
+                total += sizes[order[end]]
+                end += 1
+            split = [texts[i].lower().split() for i in order[at:end]]
+            lengths = np.array([len(c) for c in split], np.int64)
+            part, at = order[at:end][lengths > 0], end
+            if not len(part):
+                continue
+            rows = self._rows([c for chunks in split for c in chunks])
+            del split
+            layout = Layout(lengths[lengths > 0])
             p, _ = forward_backward(layout, self.scores[rows], self.model.transitions.astype(np.float32))
-            yield np.array(part), layout.doc, self.letters[rows], p
+            yield part, layout.doc, self.letters[rows], p
             if len(self.known) > self.entries:
                 self._reset()
 
