@@ -1,21 +1,27 @@
-"""Benchmark decontamination: rare word n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: pairs of near words as seeds, then Smith-Waterman alignment of words.
 
-A benchmark is searched in blocks of bounded size, each against all documents.  The document
-frequency of every item n-gram is counted over the whole corpus; the rarer half of an item's n-grams
-are its seeds, at any corpus size, so frequent passages keep their seeds too.  A document with a seed
-is aligned with the item around the seeds; the score is the local alignment score over the score of
-the whole item, so substituted, inserted and dropped words lower it gradually.
+A benchmark is searched in blocks of bounded size, each against all documents.  The score is the local
+alignment score (match 2, mismatch and gap -1) over the score of the whole item, so substituted,
+inserted and dropped words lower it gradually.
+
+No pair of a document and an item that reaches the threshold is lost.  For an item of n words let
+T = 2 n threshold.  An alignment of M matches and e errors needs 2 M - e >= T.  Of the M - 1 gaps between
+consecutive matches let A have no error and B one; the others have at least two, so e >= B + 2 (M - 1 - A - B)
+and hence 2 A + B >= T - 2.  A gap of at most one error joins words at most two apart in the item and in the
+document, so looking up every pair of words one or two apart finds it.  The alignment spans at most
+M + e <= 3 n - T words.  An item is aligned wherever so many words hold pairs of weight T - 2 (2 for words
+adjacent on both sides, else 1); where T <= 2 one word is enough to reach the threshold, so single words
+are the seeds.  The seeds of an item depend on that item and the threshold only.
 
 Words are runs of letters and digits after lower-casing; ASCII marks separate words.
 
-Defined results: null or empty texts and items without words match nothing; an item shorter than a
-seed is its own seed; equal items and repeated documents are reported each; a null doc_id is
+Defined results: null or empty texts and items without words match nothing; an item of one or two words
+is found by any of its words at a threshold of a half; equal items and repeated documents are reported each; a null doc_id is
 reported as null; an empty table on either side gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +32,8 @@ from ._store import materialize
 
 BLOCK_ITEMS, BLOCK_BYTES = 5000, 8_000_000
 BROADCAST_IDS = 2_000_000
-SEED = 3
+#: Seed hits expanded at once in a worker.
+HITS = 2_000_000
 _SPACE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 FOUND = "doc_id long, item_id long, score double, start_word int, end_word int, text_words int"
 
@@ -36,53 +43,105 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """Items of one block over their own vocabulary."""
+    """Items of one block over their own vocabulary, with the index of their seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int = SEED):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float = 0.5):
         texts = [(i, words(t)) for i, t in rows]
         texts = [(i, w) for i, w in texts if w]
         self.ids = [i for i, _ in texts]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in texts]
-        self.seed = min([seed, *map(len, self.words)])
-        self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        n = np.array([len(w) for w in self.words], np.int64)
+        least = 2 * n * threshold
+        self.need = least - 2 - 1e-9
+        self.span = np.floor(3 * n - least + 1e-9).astype(np.int64)
+        #: Whether an item has single words as seeds.
+        self.single = self.need <= 0
+        codes, owner, weight = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k, w in enumerate(self.words):
-            for p, c in enumerate(self.codes(w).tolist()):
-                self.grams[c].append((k, p))
-        self.sorted = np.array(sorted(self.grams), np.int64)
+            seeds = [(self.alone(w), 1)] if self.single[k] else [(self.pairs(w, 1), 2), (self.pairs(w, 2), 1)]
+            for c, heavy in seeds:
+                codes.append(c)
+                owner.append(np.full(len(c), k))
+                weight.append(np.full(len(c), heavy))
+        code, owner, weight = map(np.concatenate, (codes, owner, weight))
+        order = np.lexsort((-weight, owner, code))
+        code, owner, weight = code[order], owner[order], weight[order]
+        first = np.ones(len(code), bool)
+        first[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        self.owner, self.weight = owner[first], weight[first]
+        self.codes, self.start = np.unique(code[first], return_index=True)
+        self.count = np.diff(np.append(self.start, len(self.owner)))
 
     def encode(self, text: str | None) -> np.ndarray:
         ws = words(text)
         return np.fromiter(map(self.vocabulary.get, ws, repeat(-1)), np.int64, len(ws))
 
-    def codes(self, ids: np.ndarray) -> np.ndarray:
-        """A number for each n-gram; -1 where it has a word of no item."""
-        n = len(ids) - self.seed + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        out, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for i in range(self.seed):
-            out = out * (len(self.vocabulary) + 1) + ids[i : i + n]
-            known &= ids[i : i + n] >= 0
-        return np.where(known, out, -1)
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and codes of the n-grams that some item has."""
-        codes = self.codes(ids)
-        at = np.flatnonzero(codes >= 0)
-        if len(at) and len(self.sorted):
-            near = np.minimum(np.searchsorted(self.sorted, codes[at]), len(self.sorted) - 1)
-            at = at[self.sorted[near] == codes[at]]
-        return at, codes[at]
-
-    def keep_rare(self, frequency: dict[int, int]) -> None:
-        """Only the rarer half of each item's n-grams stay; ties go by position."""
-        rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, w in enumerate(self.words):
-            by = sorted((frequency.get(c, 0), p, c) for p, c in enumerate(self.codes(w).tolist()))
-            for _, p, c in by[: max(1, (len(by) + 1) // 2)]:
-                rare[c].append((k, p))
-        self.grams, self.sorted = rare, np.array(sorted(rare), np.int64)
+    def pairs(self, ids: np.ndarray, apart: int) -> np.ndarray:
+        """A number for each pair of words ``apart`` places from each other; -1 where one is in no item."""
+        a, b = ids[:-apart], ids[apart:]
+        return np.where((a >= 0) & (b >= 0), a * len(self.vocabulary) + b, -1)
+
+    def alone(self, ids: np.ndarray) -> np.ndarray:
+        """A number for each word, other than those of pairs."""
+        return np.where(ids >= 0, len(self.vocabulary) ** 2 + ids, -1)
+
+    def _hits(self, ids: np.ndarray):
+        """(positions, rows of ``codes``, greatest weight) of the seeds in a document, by kind."""
+        kinds = [(self.pairs(ids, 1), 2), (self.pairs(ids, 2), 1)]
+        if self.single.any():
+            kinds.append((self.alone(ids), 1))
+        for codes, most in kinds:
+            at = np.flatnonzero(codes >= 0)
+            if len(at):
+                row = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
+                same = self.codes[row] == codes[at]
+                if same.any():
+                    yield at[same], row[same], most
+
+    def _expand(self, at: np.ndarray, row: np.ndarray, most: int):
+        """(item, position, weight) of each hit, in parts of about ``HITS``."""
+        total = np.cumsum(self.count[row])
+        cuts = np.unique(np.searchsorted(total, np.arange(HITS, total[-1], HITS)))
+        for p, r in zip(np.split(at, cuts), np.split(row, cuts)):
+            n = self.count[r]
+            place = np.repeat(self.start[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield self.owner[place], np.repeat(p, n), np.minimum(self.weight[place], most)
+
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+        """Items that can reach the threshold, and the windows of the document where they can."""
+        found, total = list(self._hits(ids)), np.zeros(len(self.ids))
+        for hit in found:
+            for k, _, w in self._expand(*hit):
+                total += np.bincount(k, w, len(total))
+        enough = (total >= self.need) & (total > 0)
+        if not enough.any():
+            return []
+        key, weight = [], []
+        for hit in found:
+            for k, p, w in self._expand(*hit):
+                keep = enough[k]
+                key.append(k[keep] * len(ids) + p[keep])
+                weight.append(w[keep])
+        key, weight = np.concatenate(key), np.concatenate(weight)
+        order = np.argsort(key, kind="stable")
+        key, first = np.unique(key[order], return_index=True)
+        weight = np.maximum.reduceat(weight[order], first)
+        item, place = np.divmod(key, len(ids))
+        sums = np.concatenate([[0], np.cumsum(weight)])
+        end = np.searchsorted(key, item * len(ids) + np.minimum(place + self.span[item], len(ids)))
+        good = sums[end] - sums[:-1] >= self.need[item]  # as the first pair of an alignment
+        item, place = item[good], place[good]
+        low, high = np.maximum(place - self.span[item], 0), np.minimum(place + self.span[item] + 1, len(ids))
+        out: list[tuple[int, list[tuple[int, int]]]] = []
+        for k, a, b in zip(item.tolist(), low.tolist(), high.tolist()):
+            if not out or out[-1][0] != k:
+                out.append((k, [(a, b)]))
+            elif a <= out[-1][1][-1][1]:
+                out[-1][1][-1] = (out[-1][1][-1][0], b)
+            else:
+                out[-1][1].append((a, b))
+        return out
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -103,26 +162,10 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def _matches(items: Items, ids: np.ndarray, threshold: float):
     """(item, score, start, end) for each item aligned with the document."""
-    at, codes = items.hits(ids)
-    spots: dict[int, list[int]] = defaultdict(list)
-    for p, c in zip(at.tolist(), codes.tolist()):
-        for k, q in items.grams[c]:
-            spots[k].append(p - q)
-    for k, starts in spots.items():
-        item = items.words[k]
-        slack, best = len(item) // 2 + 2, (0.0, 0, 0)
-        starts.sort()
-        low, high = starts[0] - slack, starts[0] + len(item) + slack
-        windows = []
-        for s in starts[1:]:
-            if s - slack > high:
-                windows.append((low, high))
-                low = s - slack
-            high = s + len(item) + slack
-        for low, high in [*windows, (low, high)]:
-            low = max(0, low)
-            part = ids[low:high]
-            score, end = align(item, part)
+    for k, windows in items.candidates(ids):
+        item, best = items.words[k], (0.0, 0, 0)
+        for low, high in windows:
+            score, end = align(item, ids[low:high])
             score /= 2 * len(item)
             if score > best[0]:
                 best = (score, low, end)
@@ -142,7 +185,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     found = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # a block of the benchmark
-        block = Items(sorted((r[0] if r[0] is not None else -1, r[1] or "") for r in rows))
+        block = Items(sorted((r[0] if r[0] is not None else -1, r[1] or "") for r in rows), threshold)
         part = materialize(_search(spark, pairs, block, threshold), "contamination")
         found = part if found is None else found.union(part)
     return found
@@ -153,51 +196,20 @@ def _search(spark, pairs: DataFrame, block: Items, threshold: float) -> DataFram
         return spark.createDataFrame([], FOUND)
     whole = spark.sparkContext.broadcast(block)
 
-    def encode(batches):
+    def search(batches):
         import pyarrow as pa
 
         items = whole.value
         for batch in batches:
-            docs, size, coded = [], [], []
+            cols: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = items.encode(text)
-                if len(items.hits(ids)[0]):
-                    docs.append(doc)
-                    size.append(len(ids))
-                    coded.append(ids.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(size, pa.int32()), pa.array(coded, pa.binary())], names=["doc_id", "text_words", "ids"])
-
-    # whole texts as word numbers of the block, for the documents that share any n-gram with it
-    coded = materialize(pairs.mapInArrow(encode, "doc_id long, text_words int, ids binary"), "coded-texts")
-
-    def count(batches):
-        import pyarrow as pa
-
-        items, seen = whole.value, defaultdict(int)
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                for c in set(items.hits(np.frombuffer(ids, "<i4").astype(np.int64))[1].tolist()):
-                    seen[c] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
-
-    counted = coded.select("ids").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n"))
-    block.keep_rare({r[0]: r[1] for r in counted.collect()})  # n-grams of the block at most
-    rare = spark.sparkContext.broadcast(block)
-
-    def search(batches):
-        import pyarrow as pa
-
-        items = rare.value
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                ids = np.frombuffer(ids, "<i4").astype(np.int64)
                 for k, score, start, end in _matches(items, ids, threshold):
                     for c, v in zip(cols, (doc, items.ids[k], score, start, end, len(ids))):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return coded.mapInArrow(search, FOUND)
+    return pairs.mapInArrow(search, FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -127,6 +127,35 @@ def test_contamination_awkward(spark, monkeypatch):
     assert decontam.drop_contaminated(docs, items).columns == docs.columns
 
 
+def test_contamination_finds_all_that_reach_the_threshold(spark):
+    item = [f"i{k}" for k in range(24)]
+    texts = {
+        1: item[:13],  # fewer than half of the 3-grams are left
+        2: [w if k % 3 < 2 else "z" for k, w in enumerate(item)],  # no 3-gram is left
+        3: [x for w in item for x in (w, "z")],  # no two words stand together
+        4: item[:11],
+    }
+    docs = [(i, " ".join(["a", *t, "b"])) for i, t in texts.items()] + [(100 + i, " ".join(item)) for i in range(50)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontam.find_contamination(d, b).collect()}
+    assert set(got) == {1, 2, 3, *range(100, 150)}
+
+
+def test_contamination_equals_alignment_of_everything():
+    rng = np.random.default_rng(3)
+    for t in range(300):
+        some = lambda n: [f"w{i}" for i in rng.integers(0, 25, n)]
+        texts, threshold = [some(rng.integers(1, 14)) for _ in range(3)], (0.5, 0.3, 0.7, 1.0)[t % 4]
+        items = decontam.Items([(i, " ".join(w)) for i, w in enumerate(texts)], threshold)
+        doc = some(10)
+        for w in texts:
+            cut = rng.random(len(w))
+            doc += [x for v, u in zip(w, cut) for x in (("z", v) if u < 0.3 else () if u < 0.4 else ("z",) if u < 0.6 else (v,))] + some(5)
+        ids = items.encode(" ".join(doc))
+        want = {k: decontam.align(w, ids)[0] / (2 * len(w)) for k, w in enumerate(items.words)}
+        assert {k: s for k, s, _, _ in decontam._matches(items, ids, threshold)} == {k: s for k, s in want.items() if s >= threshold}
+
+
 def test_alignment_scores():
     a = np.array([1, 2, 3, 4, 5])
     assert decontam.align(a, np.array([9, 1, 2, 3, 4, 5, 9])) == (10, 6)
