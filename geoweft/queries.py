@@ -487,7 +487,7 @@ def circular_grid(s, d):
 
 @query()
 def polar_grids(s, d):
-    return shape(grids.polar_grids(X.suppliers(s, d).where("fid <= 20"), [10, 20, 30]), "fid", "angle", "radius", "azimuth")
+    return shape(grids.polar_grids(X.suppliers(s, d), [10, 20, 30]), "fid", "angle", "radius", "azimuth")
 
 
 @query("SELECT 1000::bigint AS n, true AS inside")
@@ -561,7 +561,7 @@ def multiple_ring_buffer(s, d):
 
 @query(f"SELECT fid, round(sqrt(2500 + (fid % 40) ** 2) * 4, 4) AS area FROM {S} WHERE fid <= 100", 4)
 def single_sided_buffer(s, d):
-    return shape(buffers.single_sided_buffer(X.lines(s, d).where("fid <= 100"), "4"), "fid").select("fid", "area")
+    return shape(buffers.single_sided_buffer(X.lines(s, d), "4"), "fid").select("fid", "area")
 
 
 @query(f"SELECT fid, round(64 * 0.5 * (400 - 100) * sin(radians(60.0 / 64)), 4) AS area FROM {S}", 4)
@@ -571,7 +571,7 @@ def wedge_buffer(s, d):
 
 @query()
 def variable_buffer(s, d):
-    return shape(buffers.variable_buffer(X.lines(s, d).where("fid <= 50"), "6", "2"), "fid")
+    return shape(buffers.variable_buffer(X.lines(s, d), "6", "2"), "fid")
 
 
 # ---- I, J, K
@@ -639,12 +639,12 @@ def vertices_to_points(s, d):
 
 @query(f"SELECT fid, count(*) AS n FROM (SELECT fid, unnest(range(ceil(sqrt(2500 + (fid % 40) ** 2) / 7)::int + 1)) FROM {S} WHERE fid <= 100) GROUP BY fid")
 def points_along_lines(s, d):
-    return construct.points_along_lines(X.lines(s, d).where("fid <= 100"), "7").groupBy("fid").agg(F.count("*").alias("n"))
+    return construct.points_along_lines(X.lines(s, d), "7").groupBy("fid").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT fid, round(sqrt(2500 + (fid % 40) ** 2) * 4, 4) AS area FROM {S} WHERE fid <= 50", 4)
 def polygons_along_lines(s, d):
-    return shape(construct.polygons_along_lines(X.lines(s, d).where("fid <= 50"), "20", "4"), "fid").groupBy("fid").agg(F.sum("area").alias("area"))
+    return shape(construct.polygons_along_lines(X.lines(s, d), "20", "4"), "fid").groupBy("fid").agg(F.sum("area").alias("area"))
 
 
 @query()
@@ -680,7 +680,7 @@ def feature_to_polygon(s, d):
 
 @query()
 def split_polygon_by_count(s, d):
-    return shape(edit.split_polygon_by_count(X.zones(s).where("fid <= 10"), "4"), "fid", "part")
+    return shape(edit.split_polygon_by_count(X.zones(s), "4"), "fid", "part")
 
 
 @query(f"SELECT fid, ceil(sqrt(2500 + (fid % 40) ** 2) / 20)::bigint AS n, round(sqrt(2500 + (fid % 40) ** 2), 6) AS len FROM {S}")
@@ -695,7 +695,7 @@ def split_line_at_vertices(s, d):
 
 @query(f"SELECT fid, CASE WHEN fid <= 20 THEN 2 ELSE 1 END::bigint AS n FROM {S} WHERE fid <= 40")
 def split_line_at_point(s, d):
-    lines = X.lines(s, d).where("fid <= 40").withColumn("geom", F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct(v.x.alias("x"), (v.y + F.col("fid") * 10000).alias("y"))))))
+    lines = X.lines(s, d).withColumn("geom", F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct(v.x.alias("x"), (v.y + F.col("fid") * 10000).alias("y"))))))
     mid = lines.where("fid <= 20").select("fid", ((F.col("geom")[0][0][0].x + F.col("geom")[0][0][1].x) / 2).alias("x"), ((F.col("geom")[0][0][0].y + F.col("geom")[0][0][1].y) / 2).alias("y"))
     return edit.split_line_at_point(lines, mid, 0.01).groupBy("fid").agg(F.count("*").alias("n"))
 
@@ -734,7 +734,7 @@ def intersection_points(s, d):
 
 @query(f"SELECT fid, 3::bigint AS n FROM {S} WHERE fid % 40 <> 0 AND fid <= 100")
 def simplify(s, d):
-    lines = X.lines(s, d).where("fid <= 100 and fid % 40 <> 0")
+    lines = X.lines(s, d)
     bent = edit.densify(lines.withColumn("geom", F.array(F.array(F.concat(F.col("geom")[0][0], F.array(F.struct((F.col("geom")[0][0][1].x).alias("x"), (F.col("geom")[0][0][1].y + 500).alias("y"))))))), "10")
     return edit.simplify(bent, "1.0").select("fid", F.size(F.col("geom")[0][0]).cast("long").alias("n"))
 
@@ -1145,7 +1145,7 @@ def idw(s, d):
 
 @query(f"SELECT row, col, round(3 * x - 2 * y + 5, 2) AS value FROM {_GRID}", 2)
 def thin_plate_spline(s, d):
-    return _cells(surface.thin_plate_spline(X.suppliers(s, d).where("fid <= 60").withColumn("z", 3 * F.col("x") - 2 * F.col("y") + 5), "z", 20.0, X.EXTENT))
+    return _cells(surface.thin_plate_spline(X.suppliers(s, d).withColumn("z", 3 * F.col("x") - 2 * F.col("y") + 5), "z", 20.0, X.EXTENT))
 
 
 @query()
