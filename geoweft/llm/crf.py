@@ -6,10 +6,17 @@ forward-backward runs over whole batches of texts at once.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from itertools import groupby
+
 import numpy as np
 
 from ._memory import hold
 
+#: Characters from the first to the last letter above which a chunk that is not all letters is read as its runs of letters.
+LONG = 64
+
 
 def features(word: str, prefix: int = 3) -> list[str]:
     """Affixes (prefixes up to ``prefix`` letters), character 2- and 3-grams and the word itself (its lexicon entry)."""
@@ -17,16 +24,49 @@ def features(word: str, prefix: int = 3) -> list[str]:
     return [f"={word}", *(f"<{word[:k]}" for k in range(1, min(prefix, len(word)) + 1)), *(f">{word[-k:]}" for k in (1, 2, 3)), *(w[i : i + 2] for i in range(len(w) - 1)), *(w[i : i + 3] for i in range(len(w) - 2))]
 
 
-def clean(chunk: str) -> str:
-    """The chunk from its first to its last letter, lower-cased; empty if it has none."""
-    if chunk.isalpha():
-        return chunk.lower()
+def _letters(chunk: str) -> tuple[int, int]:
+    """Where the first letter begins and the last ends."""
     a, b = 0, len(chunk)
     while a < b and not chunk[a].isalpha():
         a += 1
     while b > a and not chunk[b - 1].isalpha():
         b -= 1
-    return chunk[a:b].lower()[:64]
+    return a, b
+
+
+def clean(chunk: str) -> str:
+    """The chunk from its first to its last letter, lower-cased; empty if it has none."""
+    if chunk.isalpha():
+        return chunk.lower()
+    a, b = _letters(chunk)
+    return chunk[a:b].lower()
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Begin and end of each word: chunks between blanks, long ones by runs of letters and their marks."""
+    out = []
+    for m in re.finditer(r"\S+", text):
+        chunk, at = m[0], m.start()
+        if len(chunk) > LONG and not chunk.isalpha():
+            a, b = _letters(chunk)
+            if b - a > LONG:
+                at += a
+                for inside, run in groupby(chunk[a:b], lambda c: c.isalpha() or unicodedata.category(c)[0] == "M"):
+                    n = sum(1 for _ in run)
+                    if inside:
+                        out.append((at, at + n))
+                    at += n
+                continue
+        out.append(m.span())
+    return out
+
+
+def split(text: str) -> list[str]:
+    """The words of ``places``, lower-cased."""
+    chunks = text.lower().split()
+    if max(map(len, chunks), default=0) <= LONG:
+        return chunks
+    return [text[a:b].lower() for a, b in places(text)]
 
 
 class Layout:
@@ -130,13 +170,13 @@ class Scorer:
             while end < len(order) and sizes[order[end]] and (end == at or total + sizes[order[end]] <= self.batch_chars):
                 total += sizes[order[end]]
                 end += 1
-            split = [texts[i].lower().split() for i in order[at:end]]
-            lengths = np.array([len(c) for c in split], np.int64)
+            parts = [split(texts[i]) for i in order[at:end]]
+            lengths = np.array([len(c) for c in parts], np.int64)
             part, at = order[at:end][lengths > 0], end
             if not len(part):
                 continue
-            rows = self._rows([c for chunks in split for c in chunks])
-            del split
+            rows = self._rows([c for chunks in parts for c in chunks])
+            del parts
             layout = Layout(lengths[lengths > 0])
             p, _ = forward_backward(layout, self.scores[rows], self.model.transitions.astype(np.float32))
             yield part, layout.doc, self.letters[rows], p

@@ -5,6 +5,9 @@ transitions; a document's language is the one with the largest mean word margina
 on at most about ``PER_LANGUAGE`` labelled documents of each language (chosen by a hash of doc_id),
 spliced into sequences that change language, so transitions are learned from switches.
 
+Words are the chunks between blanks; a chunk of over ``crf.LONG`` characters that are not all letters is
+read as its runs of letters, each a word.
+
 Defined results: null text, or text without a letter, gives ``und`` with score 0; with no labelled
 rows every document is ``und``; repeated rows are scored alike; an empty table gives an empty
 result; extra columns are ignored.
@@ -16,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .crf import Crf, clean, scorer_for, train
+from .crf import Crf, clean, scorer_for, split, train
 
 #: Bound of the labelled sample, documents a language.
 PER_LANGUAGE = 200
@@ -59,7 +62,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Crf | None:
         share = F.when(F.col("lang") == lang, F.lit(min(grain, grain * per_language // n))).otherwise(share)
     sample = labelled.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(grain)) < share).select("lang", "text").collect()
     states = [lang for lang, _ in counts]
-    chosen = [(states.index(r[0]), [w for w in map(clean, r[1].split()) if w]) for r in sorted(sample)]
+    chosen = [(states.index(r[0]), [w for w in map(clean, split(r[1])) if w]) for r in sorted(sample)]
     return train(states, splice(chosen))
 
 

@@ -6,6 +6,8 @@ cover.  The field is trained on those word labels; forward-backward marginals gi
 and a document's largest marginal and sum of marginals, calibrated on the training labels, its score.  The model is
 fit on at most about ``PER_LABEL`` labelled documents of each label (chosen by a hash of doc_id).
 
+Words are those of ``langid``: long chunks without blanks are read as their runs of letters.
+
 Defined results: null, empty and wordless texts get the score of no toxic word; repeated rows are
 scored alike; with no labelled rows every score is 0; an empty table gives an empty result; extra
 columns are ignored.
@@ -13,14 +15,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .crf import Crf, Scorer, clean, scorer_for, train
+from .crf import Crf, Scorer, clean, places, scorer_for, split, train
 from .langid import held_out
 
 #: Bound of the labelled sample, documents a label.
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Toxic
     chosen = known.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(grain)) < share)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("toxic", "text").collect()  # the bounded sample
     texts = sorted({(r[0], r[1]) for r in rows})
-    words = [[clean(c) for c in t.split()] for _, t in texts]
+    words = [[clean(c) for c in split(t)] for _, t in texts]
     y = np.array([t[0] for t in texts])
     bad = lexicon([(k, [x for x in w if x]) for k, w in zip(y, words)])
     tagged = [(w, np.array([int(bool(k) and not stems({x}).isdisjoint(bad)) for x in w], np.int64)) for k, w in zip(y, words)]
@@ -150,9 +151,9 @@ def score_toxicity(docs: DataFrame, model: Toxicity | None, span_at: float = 0.5
                 for i in np.flatnonzero(own[:, 0] >= span_at):
                     mine = p[starts[i] : starts[i + 1]]
                     at = np.flatnonzero(mine >= span_at)
-                    places = [x.span() for x in re.finditer(r"\S+", texts[part[i]])]
-                    if len(places) == len(mine):
-                        spans[part[i]] = [{"begin": places[k][0], "end": places[k][1], "p": float(mine[k])} for k in at]
+                    words = places(texts[part[i]])
+                    if len(words) == len(mine):
+                        spans[part[i]] = [{"begin": words[k][0], "end": words[k][1], "p": float(mine[k])} for k in at]
             score = tox.score(summary) if tox else summary[:, 0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], names=["doc_id", "score", "spans"])
 

@@ -52,6 +52,32 @@ def test_code_switching_is_seen(spark):
     assert got[1].switches == 0 and 1 <= got[2].switches <= 5 and got[2].score < got[1].score
 
 
+def test_chunks_without_blanks_are_read_to_their_end(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    en, fr = (["".join(c for c in w if c.isalpha()) for w in docs.where(f"lang = '{x}' and length(text) > 1200").first().text.split()[:150]] for x in ("en", "fr"))
+    en, fr = [w for w in en if w], [w for w in fr if w]
+    rows = [(1, " ".join(en[:20] + fr)), (2, ",".join(en[:20] + fr)), (3, "/".join(en[:20] + en))]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred, got[3].lang_pred) == ("fr", "fr", "en")
+    assert got[2].n_words == got[1].n_words == 20 + len(fr) and got[2].score == pytest.approx(got[1].score, abs=1e-5)
+
+
+def test_toxic_word_late_in_a_chunk_without_blanks(spark):
+    docs = [(i, f"plain words number {i % 7} are here" + (f" you {('fool', 'scoundrel')[i % 2]}, go" if i % 3 == 0 else "")) for i in range(300)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    text = "_".join(["plain", "words", "here"] * 10 + ["you", "fool", "go"])
+    (got,) = toxicity.score_toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), toxicity.fit(d, lab)).collect()
+    assert got.score >= 0.7 and "fool" in [text[s.begin : s.end] for s in got.spans]
+
+
+def test_words_of_long_chunks():
+    run = "ab" * 40
+    assert crf.split(f"A {run} x,{run}.Y 1{'!' * 99}don't") == ["a", run, "x", run, "y", f"1{'!' * 99}don't"]
+    assert crf.clean(f"1{'!' * 99}don't") == "don't" and crf.split("7" * 99) == ["7" * 99] and crf.split("") == []
+    assert crf.clean(f"{run}-c") == f"{run}-c"
+
+
 def test_language_awkward(spark):
     docs = awkward(spark)
     out = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs)).collect()}
