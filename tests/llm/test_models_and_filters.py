@@ -182,6 +182,17 @@ def test_contamination_equals_alignment_of_everything():
         assert {k: s for k, s, _, _ in decontam._matches(items, ids, threshold)} == {k: s for k, s in want.items() if s >= threshold}
 
 
+def test_contamination_of_an_item_does_not_depend_on_its_block():
+    item, other = " ".join(f"i{k}" for k in range(9)), "omega"
+    for t in ("i0 z i2 z i4 z i6 z i8", "i0 i1 z i3 i4 z i6 i7 z", "i8 i7 i6 i5", item):
+        found = []
+        for rows in ([(1, item)], [(1, item), (2, other)], [(0, "i3 i1"), (1, item)]):
+            items = decontam.Items(rows)
+            k, ids = items.ids.index(1), items.encode(t)
+            found.append(([w for i, w in items.candidates(ids) if i == k], [m[1:] for m in decontam._matches(items, ids, 0.5) if m[0] == k]))
+        assert found[0] == found[1] == found[2]
+
+
 def test_alignment_scores():
     a = np.array([1, 2, 3, 4, 5])
     assert decontam.align(a, np.array([9, 1, 2, 3, 4, 5, 9])) == (10, 6)
