@@ -98,8 +98,14 @@ def histogram_features(df: DataFrame, field: str) -> DataFrame:
     return histogram(df, field)
 
 
+#: Distinct values up to which natural breaks are exact; more are put into so many bins of equal width.
+MAX_BREAK_VALUES = 2000
+
+
 def class_breaks(df: DataFrame, field: str, method: str = "EqualInterval", classes: int = 5) -> list[float]:
-    """Class breaks from the histogram of values (equal interval, quantile, natural breaks, standard deviation)."""
+    """Class breaks from the histogram of values (equal interval, quantile, natural breaks, standard deviation).
+
+    Natural breaks weigh each value by its rows; above MAX_BREAK_VALUES distinct values they are found on bins."""
     from .stats import _number
 
     v = df.select(_number(field).alias("v")).where("v is not null")
@@ -112,19 +118,30 @@ def class_breaks(df: DataFrame, field: str, method: str = "EqualInterval", class
         lo, hi, mean, sd = v.agg(F.min("v"), F.max("v"), F.avg("v"), F.stddev_pop("v")).first()
         inner = [mean + sd * (k + 0.5) * s for k in range(classes) for s in (-1, 1)]
         return sorted({lo, hi, *[b for b in inner if lo < b < hi]})
-    q = v.agg(F.percentile_approx("v", [i / 512 for i in range(513)], 100_000)).first()[0]  # a bounded summary of the histogram
-    return _natural_breaks(sorted(set(q)), classes)
+    counted = v.groupBy("v").agg(F.count("*").alias("n")).limit(MAX_BREAK_VALUES + 1).collect()
+    if len(counted) > MAX_BREAK_VALUES:
+        lo, hi = v.agg(F.min("v"), F.max("v")).first()
+        place = F.least(F.floor((F.col("v") - lo) / (hi - lo) * MAX_BREAK_VALUES), F.lit(MAX_BREAK_VALUES - 1))
+        bins = v.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.avg("v").alias("v"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        bins.sort(key=lambda r: r.v)
+        return _natural_breaks([r.v for r in bins], classes, [r.n for r in bins], bins[0].lo, [r.hi for r in bins])
+    counted.sort()
+    return _natural_breaks([r[0] for r in counted], classes, [r[1] for r in counted])
 
 
-def _natural_breaks(values: list[float], classes: int) -> list[float]:
-    """Least within-class squared deviation by dynamic programming."""
+def _natural_breaks(values: list[float], classes: int, counts: list[int] | None = None, lowest: float | None = None, upper: list[float] | None = None) -> list[float]:
+    """Least within-class squared deviation of sorted values with their counts, by dynamic programming; a class ends at ``upper`` of its last value."""
     import numpy as np
 
-    x = np.array(values)
+    if not values:
+        return []
+    ends, first = np.array(values if upper is None else upper, float), float(values[0] if lowest is None else lowest)
+    x, w = np.array(values, float), np.ones(len(values)) if counts is None else np.array(counts, float)
     n = len(x)
     classes = min(classes, n)
-    s, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-    cost = lambda i, j: s2[j] - s2[i] - (s[j] - s[i]) ** 2 / (j - i)
+    x = x - np.average(x, weights=w)
+    s0, s, s2 = (np.concatenate([[0], np.cumsum(w * x**k)]) for k in (0, 1, 2))
+    cost = lambda i, j: s2[j] - s2[i] - (s[j] - s[i]) ** 2 / (s0[j] - s0[i])
     best, cut = np.array([0.0] + [cost(0, j) for j in range(1, n + 1)]), []
     for _ in range(1, classes):
         new, at = np.full(n + 1, np.inf), np.zeros(n + 1, int)
@@ -135,9 +152,9 @@ def _natural_breaks(values: list[float], classes: int) -> list[float]:
             new[j] = c[at[j]]
         best = new
         cut.append(at)
-    out, j = [float(x[-1])], n
+    out, j = [float(ends[-1])], n
     for at in reversed(cut):
         j = int(at[j])
         if j:
-            out.append(float(x[j - 1]))
-    return sorted({float(x[0]), *out})
+            out.append(float(ends[j - 1]))
+    return sorted({first, *out})

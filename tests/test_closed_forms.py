@@ -112,3 +112,26 @@ def test_store(spark):
     store.discard(t)
     assert not os.path.isdir(folder)
     store.discard(spark.range(3))
+
+
+def test_natural_breaks_weigh_rows(spark, monkeypatch):
+    import itertools
+
+    from geoweft.operators import vector
+
+    counts = {0.0: 1, 1.0: 400, 2.0: 1, 3.0: 1, 4.0: 300, 5.0: 1, 6.0: 2}
+    df = spark.createDataFrame([(v,) for v, n in counts.items() for _ in range(n)], "v double")
+
+    def spread(part):
+        n = sum(counts[v] for v in part)
+        mean = sum(v * counts[v] for v in part) / n
+        return sum(counts[v] * (v - mean) ** 2 for v in part)
+
+    xs = sorted(counts)
+    cuts = min(itertools.combinations(range(1, len(xs)), 2), key=lambda c: sum(spread(xs[a:b]) for a, b in itertools.pairwise((0, *c, len(xs)))))
+    want = [0.0, *(xs[c - 1] for c in cuts), 6.0]
+    assert vector.class_breaks(df, "v", "NaturalBreaks", 3) == want
+    rare = spark.range(20000).select((F.col("id") % 1000 / 1000.0).alias("v")).union(spark.createDataFrame([(100.0,), (101.0,)], "v double"))
+    assert vector.class_breaks(rare, "v", "NaturalBreaks", 2) == [0.0, 0.999, 101.0]
+    monkeypatch.setattr(vector, "MAX_BREAK_VALUES", 500)
+    assert vector.class_breaks(rare, "v", "NaturalBreaks", 2) == [0.0, 0.999, 101.0]
