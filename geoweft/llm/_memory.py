@@ -1,8 +1,14 @@
-"""Memories of Python workers: a worker outlives its tasks, so only one operator's memory is kept at a time."""
+"""Memories of Python workers.
+
+A worker outlives its tasks, beside a JVM that fills its heap.  So what a task gathers is dropped at the
+end of that task, and what an operator keeps for its next task goes when another operator starts.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 _held: dict[str, Callable[[], None]] = {}
 
@@ -12,3 +18,31 @@ def hold(owner: str, drop: Callable[[], None]) -> None:
     for other in [o for o in _held if o != owner]:
         _held.pop(other)()
     _held[owner] = drop
+
+
+def _trim() -> None:
+    """Freed pages go back to the system, where the C library can do that."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@contextmanager
+def task(*clear: Callable[[], None]) -> Iterator[None]:
+    """What the task gathered is dropped by ``clear`` when it ends, also when it fails."""
+    try:
+        yield
+    finally:
+        for drop in clear:
+            drop()
+        _trim()
+
+
+def slices(batches, rows: int = 500):
+    """Parts of Arrow batches of at most ``rows`` rows, without a copy."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -136,18 +136,18 @@ class Crf:
 class Scorer:
     """Marginals of texts, with a bounded memory of word scores."""
 
-    def __init__(self, model: Crf, entries: int = 500_000, batch_chars: int = 2_000_000):
+    def __init__(self, model: Crf, entries: int = 200_000, batch_chars: int = 1_000_000):
         self.model, self.entries, self.batch_chars = model, entries, batch_chars
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         self.known: dict[str, int] = {}  # chunk, and cleaned word, to row of scores
         self.words: dict[str, int] = {}
-        self.scores = np.zeros((0, len(self.model.states)), np.float32)
-        self.letters = np.zeros(0, bool)
+        self.scores = np.zeros((1024, len(self.model.states)), np.float32)
+        self.letters = np.zeros(1024, bool)
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
-        fresh: list[str] = []
+        first, fresh = len(self.words), []
         for c in set(chunks):
             if c not in self.known:
                 w = clean(c)
@@ -157,31 +157,45 @@ class Scorer:
                     fresh.append(w)
                 self.known[c] = row
         if fresh:
-            self.scores = np.concatenate([self.scores, self.model.word_scores(fresh)])
-            self.letters = np.concatenate([self.letters, np.fromiter(map(bool, fresh), bool, len(fresh))])
+            last = first + len(fresh)
+            if last > len(self.letters):
+                room = max(last, 2 * len(self.letters)) - len(self.letters)
+                self.scores = np.concatenate([self.scores, np.zeros((room, self.scores.shape[1]), np.float32)])
+                self.letters = np.concatenate([self.letters, np.zeros(room, bool)])
+            self.scores[first:last] = self.model.word_scores(fresh)
+            self.letters[first:last] = np.fromiter(map(bool, fresh), bool, len(fresh))
         return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
-    def marginals(self, texts: list[str | None]):
-        """Yields (positions in ``texts``, text number of each word, has letters, marginals)."""
-        sizes = np.array([len(t or "") for t in texts], np.int64)
+    def marginals(self, texts):
+        """Of an Arrow array of texts, in parts: (positions, the texts there, text number of each word, has letters, marginals).
+
+        Texts of like length are taken together, so that a batch takes few steps; only a part of them is unpacked at once.
+        """
+        import pyarrow.compute as pc
+
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         order, at = np.argsort(-sizes, kind="stable"), 0
         while at < len(order) and sizes[order[at]]:
             end, total = at, 0
             while end < len(order) and sizes[order[end]] and (end == at or total + sizes[order[end]] <= self.batch_chars):
                 total += sizes[order[end]]
                 end += 1
-            parts = [split(texts[i]) for i in order[at:end]]
+            part, at = order[at:end], end
+            own = texts.take(part).to_pylist()
+            parts = [split(t) for t in own]
             lengths = np.array([len(c) for c in parts], np.int64)
-            part, at = order[at:end][lengths > 0], end
-            if not len(part):
+            if not lengths.any():
                 continue
+            if not lengths.all():
+                own = [t for t, n in zip(own, lengths) if n]
+                part, lengths = part[lengths > 0], lengths[lengths > 0]
             rows = self._rows([c for chunks in parts for c in chunks])
             del parts
-            layout = Layout(lengths[lengths > 0])
+            layout = Layout(lengths)
             p, _ = forward_backward(layout, self.scores[rows], self.model.transitions.astype(np.float32))
-            yield part, layout.doc, self.letters[rows], p
+            yield part, own, layout.doc, self.letters[rows], p
             if len(self.known) > self.entries:
-                self._reset()
+                self.reset()
 
 
 def train(states: list[str], sequences: list[tuple[list[str], np.ndarray]], updates: int = 150, rate: float = 0.3, l2: float = 1e-4, batch_words: int = 20_000, least: int = 2, prefix: int = 3, seed: int = 5) -> Crf:
@@ -246,10 +260,16 @@ _last: list[Scorer] = []
 
 
 def scorer_for(model: Crf | None) -> Scorer | None:
-    """The worker's scorer of this model, kept between tasks with its word scores."""
+    """The worker's scorer of this model."""
     if model is None:
         return None
     hold("words", _last.clear)
     if not _last or _last[0].model is not model:
         _last[:] = [Scorer(model)]
     return _last[0]
+
+
+def forget() -> None:
+    """Drop the word scores of this worker; for the end of a task."""
+    for scorer in _last:
+        scorer.reset()

@@ -27,9 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import connected_components
-from ._memory import hold
-from ._store import materialize
+from ..plans.components import components as connected_components
+from ..plans.store import materialize
+from ._memory import slices, task
 
 SYMBOLS, CHUNKS, RADIUS = 48, 12, 22
 _WIDE = SYMBOLS // CHUNKS
@@ -47,10 +47,8 @@ class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
-        if not self:
-            hold("word hashes", self.clear)
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
@@ -84,20 +82,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, h and g (hash of the whole set), sig."""
 
-    def run(batches):
+    def sign(batch):
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
-            n, h, g, sig = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width)
-                n.append(len(s))
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                h.append(int.from_bytes(d[:8], "little", signed=True))
-                g.append(int.from_bytes(d[8:], "little", signed=True))
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "h", "g", "sig"])
+        n, h, g, sig = [], [], [], []
+        for text in batch.column(1).to_pylist():
+            s = shingle_set(text, width)
+            n.append(len(s))
+            d = xxhash.xxh3_128_digest(s.tobytes())
+            h.append(int.from_bytes(d[:8], "little", signed=True))
+            g.append(int.from_bytes(d[8:], "little", signed=True))
+            sig.append(signature(s).tobytes() if len(s) else None)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(sig, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h", "g", "sig"])
+
+    def run(batches):
+        with task(_words.clear):
+            yield from map(sign, slices(batches))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h long, g long, sig binary")
 
@@ -112,9 +114,7 @@ def _keys(reps: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 2000):
             m = _matrix(batch.column(1).to_pylist()).astype(np.int64).reshape(-1, CHUNKS, _WIDE)
             keys = np.empty((len(m), CHUNKS, _WIDE), np.int64)
             for c in range(CHUNKS):
@@ -152,26 +152,31 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "words"])
+        with task(_words.clear):
+            for batch in slices(batches, 100):
+                sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "words"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
     sets = own.mapInArrow(run, "id long, words binary")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), bool)
-        for i, (p, q) in enumerate(zip(x, y)):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            common = int((q[at] == p).sum())
-            out[i] = 100 * common >= percent * (len(p) + len(q) - common)
-        return pd.Series(out)
+    def alike(batches):
+        import pyarrow as pa
+
+        with task():
+            for batch in batches:
+                found = np.zeros(batch.num_rows, bool)
+                for i, (p, q) in enumerate(zip(batch.column("wa"), batch.column("wb"))):
+                    p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                    at = np.searchsorted(q, p)
+                    at[at == len(q)] = 0
+                    common = int((q[at] == p).sum())
+                    found[i] = 100 * common >= percent * (len(p) + len(q) - common)
+                yield batch.select(["u", "v"]).filter(pa.array(found))
 
-    return materialize(both.where(alike("wa", "wb")).select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
+    links = both.select(F.col("a").alias("u"), F.col("b").alias("v"), "wa", "wb").mapInArrow(alike, "u long, v long")
+    return materialize(links, "confirmed")
 
 
 def _labelled(rows: DataFrame, parts: DataFrame, name: str, out: str) -> DataFrame:
@@ -190,11 +195,11 @@ def _prefixes(open_: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 200):
-                sets = [shingle_set(t, width) for t in texts[at : at + 200]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(keys[at : at + 200], [len(x) for x in sets]))], names=["shingle", "rep"])
+        with task(_words.clear):
+            for batch in slices(batches, 200):
+                sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+                keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(keys)], names=["shingle", "rep"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(ids) if few else ids, "rep", "left_semi")
     rows = materialize(text.mapInArrow(run, "shingle long, rep long"), "open-shingles")
@@ -288,7 +293,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose group has one of smaller doc_id; equal doc_ids stay or go together."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialize(gone, "dropped-ids")
+    gone = materialize(near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct(), "dropped-ids")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import materialize
+from ..plans.store import materialize
+from ._memory import slices, task
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows ranked by one task.
@@ -125,19 +126,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
         from .tokens import encoder
 
         enc = encoder(tokenizer_path)
-        width, end = enc.width, np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            cols: list[list] = [[], [], [], [], []]
-            for at in range(0, len(ids), 256):
-                part = enc.encode(texts.slice(at, 256).to_pylist())
-                for doc, raw in zip(ids[at : at + 256], part):
+        end = np.array([end_id], enc.dtype).tobytes()
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        with task(enc.memo.forget):
+            for batch in slices(batches, 256):
+                cols: list[list] = [[], [], [], [], []]
+                for doc, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
                     wide = np.frombuffer(raw + end, enc.dtype).astype("<u4")
                     for k, s in enumerate(range(0, len(wide), capacity)):
                         cut = wide[s : s + capacity]
                         for c, v in zip(cols, (doc, k, s, len(cut), zlib.crc32(cut.tobytes()))):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, PIECES)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, embed_dedup, langid, line_dedup, minhash_dedup, packing, sharding, token_files, toxicity, url_filter
-from ._store import new_path
+from ..plans.store import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

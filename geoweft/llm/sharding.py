@@ -7,8 +7,8 @@ second permutation orders random 64-bit keys in sub-buckets whose bases are pref
 holds a shard.
 
 Defined results: null text has size 1 and checksum 0; equal texts and repeated rows are dealt one by
-one; shards differ by at most one row; an empty table gives an empty result; extra columns pass
-through (names beginning with ``_shuffle`` are reserved).
+one; shards differ by at most one row; an empty table gives an empty result; extra columns, whatever
+their names, pass through (``shard`` and ``slot`` are replaced).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ..plans.store import materialize
 
 BUCKET_ROWS = 100_000
 
@@ -67,21 +67,23 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
 def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     """``df`` with shard (int) and slot (long, gapless from 0 in each shard)."""
     spark = df.sparkSession
-    own = [c for c in df.columns if c not in ("shard", "slot")]
-    fixed = materialize(df.select(*own, F.spark_partition_id().alias("_shuffle_part"), F.monotonically_increasing_id().alias("_shuffle_row")), "shuffle")
-    parts = fixed.groupBy("_shuffle_part").count().orderBy("_shuffle_part").collect()  # one row an input split
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
+    # the row travels as one column, so none of its names can clash with those used here
+    body = F.struct(*own) if own else F.struct(F.lit(None).alias("nothing"))
+    fixed = materialize(df.select(body.alias("body"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "shuffle")
+    parts = fixed.groupBy("part").count().orderBy("part").collect()  # one row an input split
     total = sum(r[1] for r in parts)
     cuts = communication_matrix([r[1] for r in parts], shards, seed).cumsum(axis=1)
-    table = json.dumps([{"p": r[0], "cuts": c.tolist()} for r, c in zip(parts, cuts)])
-    cuts_df = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<p:int,cuts:array<bigint>>>")))
-    first = Window.partitionBy("_shuffle_part").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "_shuffle_row"), "_shuffle_row")
-    dealt = fixed.withColumn("_shuffle_rank", F.row_number().over(first) - 1).join(cuts_df, F.col("_shuffle_part") == F.col("p"))
-    dealt = dealt.withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col("_shuffle_rank")))).drop("p", "cuts")
+    table = json.dumps([{"part": r[0], "cuts": c.tolist()} for r, c in zip(parts, cuts)])
+    cuts_df = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<part:int,cuts:array<bigint>>>")))
+    first = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "row"), "row")
+    dealt = fixed.withColumn("rank", F.row_number().over(first) - 1).join(cuts_df, "part")
+    dealt = dealt.withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col("rank"))))
     buckets = max(1, -(-total // (shards * BUCKET_ROWS)))
-    dealt = dealt.withColumn("_shuffle_key", F.xxhash64(F.lit(seed), F.lit(2), "_shuffle_row")).withColumn("_shuffle_bucket", F.pmod(F.shiftrightunsigned("_shuffle_key", 24), F.lit(buckets)))
-    dealt = materialize(dealt.select(*own, "shard", "_shuffle_key", "_shuffle_bucket", "_shuffle_row"), "dealt")
-    sizes = dealt.groupBy("shard", "_shuffle_bucket").count()
-    base = sizes.withColumn("_shuffle_base", F.sum("count").over(Window.partitionBy("shard").orderBy("_shuffle_bucket")) - F.col("count")).drop("count")
-    second = Window.partitionBy("shard", "_shuffle_bucket").orderBy("_shuffle_key", "_shuffle_row")
-    placed = dealt.withColumn("_shuffle_rank", F.row_number().over(second) - 1).join(base, ["shard", "_shuffle_bucket"])
-    return placed.select(*own, "shard", (F.col("_shuffle_base") + F.col("_shuffle_rank")).alias("slot"))
+    dealt = dealt.withColumn("key", F.xxhash64(F.lit(seed), F.lit(2), "row")).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 24), F.lit(buckets)))
+    dealt = materialize(dealt.select("body", "shard", "key", "bucket", "row"), "dealt")
+    sizes = dealt.groupBy("shard", "bucket").count()
+    base = sizes.withColumn("base", F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).drop("count")
+    second = Window.partitionBy("shard", "bucket").orderBy("key", "row")
+    placed = dealt.withColumn("rank", F.row_number().over(second) - 1).join(base, ["shard", "bucket"])
+    return placed.select(*(["body.*"] if own else []), "shard", (F.col("base") + F.col("rank")).alias("slot"))

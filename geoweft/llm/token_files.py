@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._memory import slices, task
+
 NULL_ID = -(1 << 63)
 MANIFEST = "first_doc long, first_key long, file string, width int, n_docs long, n_tokens long"
 
@@ -60,14 +62,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         name, first, counts, ids, out = f"{path}/data/part-{uuid.uuid4().hex}", None, [], [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                out, first = _open(f"{name}.bin", "wb"), (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
-            ids.append(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-            for at in range(0, batch.num_rows, 256):
-                for raw in enc.encode(batch.column(2).slice(at, 256).to_pylist()):
+        with task(enc.memo.forget):
+            for batch in slices(batches, 256):
+                if out is None:
+                    out, first = _open(f"{name}.bin", "wb"), (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
+                ids.append(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).copy())
+                for raw in enc.encode(batch.column(2).to_pylist()):
                     out.write(raw)
                     out.write(end)
                     counts.append(len(raw) // enc.width + 1)

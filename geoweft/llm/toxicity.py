@@ -21,8 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .crf import Crf, Scorer, clean, places, scorer_for, split, train
-from .langid import held_out
+from ._memory import task
+from .crf import Crf, Scorer, clean, forget, places, scorer_for, split, train
+from .langid import held_out, sample
 
 #: Bound of the labelled sample, documents a label.
 PER_LABEL = 1000
@@ -109,22 +110,19 @@ def _calibrate(summary: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Toxicity | None:
     """Learns from documents and labels that are not held out."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # one row a label
-    if not counts.get(0) or not counts.get(1):
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    texts = sample(docs.select("doc_id", "text").join(known, "doc_id"), "toxic", per_label, 13)
+    if len({t[0] for t in texts}) < 2:
         return None
-    grain = 1 << 30
-    share = F.when(F.col("toxic") == 1, F.lit(min(grain, grain * per_label // counts[1]))).otherwise(F.lit(min(grain, grain * per_label // counts[0])))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(grain)) < share)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("toxic", "text").collect()  # the bounded sample
-    texts = sorted({(r[0], r[1]) for r in rows})
     words = [[clean(c) for c in split(t)] for _, t in texts]
     y = np.array([t[0] for t in texts])
     bad = lexicon([(k, [x for x in w if x]) for k, w in zip(y, words)])
     tagged = [(w, np.array([int(bool(k) and not stems({x}).isdisjoint(bad)) for x in w], np.int64)) for k, w in zip(y, words)]
     model = train(["fine", "toxic"], [(w[i : i + PIECE], t[i : i + PIECE]) for w, t in tagged for i in range(0, len(w), PIECE)], prefix=STEM[1])
     summary = np.zeros((len(texts), 3))
-    for part, doc, letters, p in Scorer(model).marginals([t for _, t in texts]):
+    import pyarrow as pa
+
+    for part, _, doc, letters, p in Scorer(model).marginals(pa.array([t for _, t in texts], pa.string())):
         summary[part] = _summary(len(part), doc, np.where(letters, p[:, 1], 0))
     return Toxicity(model, _calibrate(summary, y))
 
@@ -136,25 +134,27 @@ def score_toxicity(docs: DataFrame, model: Toxicity | None, span_at: float = 0.5
     """doc_id, score, spans: character offsets of the words whose marginal reaches ``span_at``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def score(batch):
         import pyarrow as pa
 
-        tox = sent.value
+        tox, n = sent.value, batch.num_rows
         scorer = scorer_for(tox.model if tox else None)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            summary, spans = np.zeros((len(texts), 3)), [[] for _ in texts]
-            for part, doc, letters, p in scorer.marginals(texts) if scorer else ():
-                p = np.where(letters, p[:, 1], 0)
-                summary[part] = own = _summary(len(part), doc, p)
-                starts = np.searchsorted(doc, np.arange(len(part) + 1))
-                for i in np.flatnonzero(own[:, 0] >= span_at):
-                    mine = p[starts[i] : starts[i + 1]]
-                    at = np.flatnonzero(mine >= span_at)
-                    words = places(texts[part[i]])
-                    if len(words) == len(mine):
-                        spans[part[i]] = [{"begin": words[k][0], "end": words[k][1], "p": float(mine[k])} for k in at]
-            score = tox.score(summary) if tox else summary[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], names=["doc_id", "score", "spans"])
+        summary, spans = np.zeros((n, 3)), [[] for _ in range(n)]
+        for part, texts, doc, letters, p in scorer.marginals(batch.column(1)) if scorer else ():
+            p = np.where(letters, p[:, 1], 0)
+            summary[part] = own = _summary(len(part), doc, p)
+            starts = np.searchsorted(doc, np.arange(len(part) + 1))
+            for i in np.flatnonzero(own[:, 0] >= span_at):
+                mine = p[starts[i] : starts[i + 1]]
+                words = places(texts[i])
+                if len(words) == len(mine):
+                    spans[part[i]] = [{"begin": words[k][0], "end": words[k][1], "p": float(mine[k])} for k in np.flatnonzero(mine >= span_at)]
+        found = tox.score(summary) if tox else summary[:, 0]
+        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
+
+    def run(batches):
+        with task(forget):
+            yield from map(score, batches)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
