@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geoweft import ship
 from geoweft.llm import decontam, langid, line_dedup, minhash_dedup, packing
-from geoweft.llm._store import materialize
+from geoweft.plans.store import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sources share stay once; documents of which nothing is left go."""
     out = line_dedup.dedup_lines(docs)
     cut = F.col("removed_lines").isNotNull()
-    kept = out.where(~cut | (F.trim("text") != ""))
+    kept = out.where(~cut | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
