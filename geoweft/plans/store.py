@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder seen by the driver and by every executor."""
+    """Folder seen by the driver and by every executor; only a session on one machine may go without the setting."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not jsc.isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geoweft-"))
         found = jsc.getCheckpointDir().get()
     return found.rstrip("/")
