@@ -8,10 +8,16 @@ import zipfile
 
 _shipped: set[str] = set()
 
+#: Session settings that bound the Arrow batches of Python workers by bytes, as texts and shapes may be long; a session's own stay.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def ship(spark) -> None:
     """Make this package importable in the Python workers of ``spark``; once an application."""
     sc = spark.sparkContext
+    for key, value in BATCHES.items():
+        if not spark._jsparkSession.conf().contains(key):
+            spark.conf.set(key, value)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
