@@ -18,10 +18,49 @@ from ._memory import hold
 LONG = 64
 
 
-def features(word: str, prefix: int = 3) -> list[str]:
-    """Affixes (prefixes up to ``prefix`` letters), character 2- and 3-grams and the word itself (its lexicon entry)."""
-    w = f"^{word}$"
-    return [f"={word}", *(f"<{word[:k]}" for k in range(1, min(prefix, len(word)) + 1)), *(f">{word[-k:]}" for k in (1, 2, 3)), *(w[i : i + 2] for i in range(len(w) - 1)), *(w[i : i + 3] for i in range(len(w) - 2))]
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * _K1
+    x ^= x >> np.uint64(32)
+    x *= _K2
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _letter_hashes(text: str) -> np.ndarray:
+    return _mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + _K2)
+
+
+def features(words: list[str], prefix: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Features of non-empty words as 64-bit hashes, and the number of the word that has each.
+
+    They are the word itself (its lexicon entry, at the front, in order), prefixes up to ``prefix`` letters,
+    suffixes up to three, and character 2- and 3-grams with the word's ends marked.
+    """
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(n)
+    start, place = end - n, np.arange(n.sum()) - np.repeat(end - n, n)
+    h = _letter_hashes("".join(words))
+    whole = np.add.reduceat(_mix(h + place.astype(np.uint64) * _K2), start) if len(words) else np.empty(0, np.uint64)
+    codes, owner = [_mix(whole ^ np.uint64(1))], [np.arange(len(words))]
+    for kind, longest in ((2, prefix), (3, 3)):
+        run = np.full(len(words), kind, np.uint64)
+        for k in range(longest):
+            has = np.flatnonzero(n > k)
+            run[has] = _mix(run[has] + h[start[has] + k if kind == 2 else end[has] - 1 - k])
+            codes.append(run[has])
+            owner.append(has)
+    h = _letter_hashes("^" + "$^".join(words) + "$") if words else h
+    word = np.repeat(np.arange(len(words)), n + 2)
+    grams = h
+    for size in (1, 2):
+        grams = _mix(grams[:-1] * _K1 + h[size:])
+        inside = np.flatnonzero(word[:-size] == word[size:])
+        codes.append(grams[inside])
+        owner.append(word[inside])
+    return np.concatenate(codes), np.concatenate(owner)
 
 
 def _letters(chunk: str) -> tuple[int, int]:
@@ -112,24 +151,41 @@ def forward_backward(layout: Layout, scores: np.ndarray, transitions: np.ndarray
 
 
 class Crf:
-    """Trained weights and the scoring of texts; picklable."""
-
-    def __init__(self, states: list[str], weights: dict[str, int], table: np.ndarray, transitions: np.ndarray, prefix: int = 3):
-        self.prefix = prefix
-        self.states, self.weights, self.table, self.transitions = states, weights, table, transitions
+    """Trained weights (a row of ``table`` for each of the sorted ``codes``) and the scores of words; picklable."""
+
+    #: Leading bits of a hash that number the places where a search begins.
+    BITS = 20
+
+    def __init__(self, states: list[str], codes: np.ndarray, table: np.ndarray, transitions: np.ndarray, prefix: int = 3):
+        self.states, self.codes, self.table, self.transitions, self.prefix = states, codes, table, transitions, prefix
+        self.first = np.searchsorted(codes >> np.uint64(64 - self.BITS), np.arange((1 << self.BITS) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def rows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``codes`` are known, and their rows."""
+        begin = (codes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        row, last = self.first[begin], self.first[begin + 1]
+        left, known, found = np.flatnonzero(row < last), [], []
+        row, last = row[left], last[left]
+        while len(left):
+            same = self.codes[row] == codes[left]
+            known.append(left[same])
+            found.append(row[same])
+            row = row + 1
+            go = ~same & (row < last)
+            left, row, last = left[go], row[go], last[go]
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *known]), np.concatenate([none, *found])
 
     def word_scores(self, cleaned: list[str]) -> np.ndarray:
         """Sum of feature weights of each word; zero for words without letters."""
-        get, flat, counts = self.weights.get, [], np.zeros(len(cleaned), np.int64)
-        for i, w in enumerate(cleaned):
-            if w:
-                known = [k for k in map(get, features(w, self.prefix)) if k is not None]
-                flat += known
-                counts[i] = len(known)
         out = np.zeros((len(cleaned), len(self.states)), np.float32)
-        has = np.flatnonzero(counts)
-        if len(has):
-            out[has] = np.add.reduceat(self.table[flat], np.concatenate([[0], np.cumsum(counts[has])[:-1]]), axis=0)
+        has = [i for i, w in enumerate(cleaned) if w]
+        for at in range(0, len(has), 20_000):
+            part = has[at : at + 20_000]
+            codes, owner = features([cleaned[i] for i in part], self.prefix)
+            known, row = self.rows(codes)
+            for s in range(len(self.states)):
+                out[part, s] = np.bincount(owner[known], self.table[row, s], len(part))
         return out
 
 
@@ -141,30 +197,24 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}  # chunk, and cleaned word, to row of scores
-        self.words: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # chunk to its row of scores
         self.scores = np.zeros((1024, len(self.model.states)), np.float32)
         self.letters = np.zeros(1024, bool)
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
-        first, fresh = len(self.words), []
-        for c in set(chunks):
-            if c not in self.known:
-                w = clean(c)
-                row = self.words.get(w)
-                if row is None:
-                    row = self.words[w] = len(self.words)
-                    fresh.append(w)
-                self.known[c] = row
+        first, known = len(self.known), self.known
+        fresh = [c for c in set(chunks) if c not in known]
         if fresh:
             last = first + len(fresh)
             if last > len(self.letters):
                 room = max(last, 2 * len(self.letters)) - len(self.letters)
                 self.scores = np.concatenate([self.scores, np.zeros((room, self.scores.shape[1]), np.float32)])
                 self.letters = np.concatenate([self.letters, np.zeros(room, bool)])
-            self.scores[first:last] = self.model.word_scores(fresh)
-            self.letters[first:last] = np.fromiter(map(bool, fresh), bool, len(fresh))
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+            known.update(zip(fresh, range(first, last)))
+            cleaned = list(map(clean, fresh))
+            self.scores[first:last] = self.model.word_scores(cleaned)
+            self.letters[first:last] = np.fromiter(map(bool, cleaned), bool, len(cleaned))
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
 
     def marginals(self, texts):
         """Of an Arrow array of texts, in parts: (positions, the texts there, text number of each word, has letters, marginals).
@@ -202,17 +252,19 @@ def train(states: list[str], sequences: list[tuple[list[str], np.ndarray]], upda
     """Conditional likelihood by Adagrad; ``sequences`` are cleaned words with a state number each (-1: unknown, not learned from)."""
     vocabulary: dict[str, int] = {}
     coded = [(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)), y) for words, y in sequences]
-    seen: dict[str, int] = {}
-    for w in vocabulary:
-        for f in features(w, prefix) if w else ():
-            seen[f] = seen.get(f, 0) + 1
-    weights = {f: i for i, f in enumerate(f for f, n in seen.items() if n >= least or f[0] == "=")}
-    per_word = [np.array(sorted({weights[f] for f in features(w, prefix) if f in weights}) if w else [], np.int64) for w in vocabulary]
-    sizes = np.array([len(p) for p in per_word], np.int64)
-    flat = np.concatenate(per_word) if per_word else np.empty(0, np.int64)
+    numbers = np.array([i for w, i in vocabulary.items() if w], np.int64)
+    found, owner = features([w for w in vocabulary if w], prefix)
+    codes, back, seen = np.unique(found, return_inverse=True, return_counts=True)
+    chosen = seen >= least
+    chosen[back[: len(numbers)]] = True  # lexicon entries
+    codes, new = codes[chosen], np.cumsum(chosen) - 1
+    keep = np.flatnonzero(chosen[back])
+    owner = numbers[owner[keep]]
+    order = np.argsort(owner, kind="stable")
+    flat, sizes = new[back[keep]][order], np.bincount(owner, minlength=len(vocabulary))
     first = np.cumsum(sizes) - sizes
     S = len(states)
-    table, trans = np.zeros((len(weights), S)), np.zeros((S, S))
+    table, trans = np.zeros((len(codes), S)), np.zeros((S, S))
     g_table, g_trans = np.full_like(table, 1e-2), np.full_like(trans, 1e-2)
     rng = np.random.default_rng(seed)
     epochs = max(2, -(-updates * batch_words // max(1, sum(len(w) for w, _ in coded))))
@@ -253,7 +305,7 @@ def train(states: list[str], sequences: list[tuple[list[str], np.ndarray]], upda
             t_grad = (real - expected) / len(part) - l2 * trans
             g_trans += t_grad * t_grad
             trans += rate * t_grad / np.sqrt(g_trans)
-    return Crf(states, weights, table.astype(np.float32), trans, prefix)
+    return Crf(states, codes, table.astype(np.float32), trans, prefix)
 
 
 _last: list[Scorer] = []
