@@ -2,8 +2,8 @@
 
 A packing depends only on how many pieces have each length, so the plan is made from the length
 histogram (at most ``capacity`` rows, whatever the corpus size).  For the longest open piece the
-planner looks for one, two or three lengths that fill the gap exactly under the remaining
-availability counts, using an index of single lengths and of pair sums; where nothing fits exactly
+planner looks up one, two or three lengths that fill the gap exactly under the remaining
+availability counts, in an index of single, pair and triple sums; where nothing fits exactly
 the longest piece that fits goes in (best fit) and the search repeats on the smaller gap.  A found
 pattern is used as often as availability allows, so plan size is bounded by the number of lengths.
 
@@ -30,33 +30,66 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANK_ROWS = 200_000
 
 
-def _pair(rem: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """Largest available a with a + b = gap."""
-    a = np.arange((gap + 1) // 2, gap)
-    ok = (rem[a] > 0) & (rem[gap - a] > 0)
-    if gap % 2 == 0 and len(a):
-        ok[0] = rem[gap // 2] > 1
-    hit = np.flatnonzero(ok)
-    return None if not len(hit) else (int(a[hit[-1]]), int(gap - a[hit[-1]]))
-
-
-def _triple(rem: np.ndarray, gap: int) -> tuple[int, int, int] | None:
-    """Available a >= b >= c with a + b + c = gap; pair sums come from one convolution."""
-    mask = (rem[: gap + 1] > 0).astype(np.float64)
-    mask[0] = 0
-    if not mask.any():
+class Sums:
+    """Index of the sums of one, two and three open lengths, by sum.
+
+    ``pair[s]`` is the largest a of an a + b = s with a >= b, ``triple[s]`` the largest a of an a + (pair of
+    s - a); 0 where there is none.  Lengths only run out, so sums only vanish: an entry of ``pair`` that no
+    longer holds is lowered, and one of ``triple`` stays an upper bound.
+    """
+
+    def __init__(self, rem: np.ndarray):
+        self.rem, size = rem, len(rem)
+        self.pair, self.triple = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        lengths = np.flatnonzero(rem)
+        for a in lengths:  # rising, so the largest stays
+            self.pair[(a + lengths)[(lengths <= a) & (lengths + a < size)]] = a
+        if len(lengths) and 2 * lengths[0] < size:
+            self._lower_doubles(lengths)
+        twos = np.flatnonzero(self.pair)
+        for a in lengths:
+            self.triple[(a + twos)[twos + a < size]] = a
+
+    def _lower_doubles(self, lengths: np.ndarray) -> None:
+        """A length of which there is one piece makes no pair with itself."""
+        for a in lengths[(2 * lengths < len(self.rem)) & (self.rem[lengths] < 2)]:
+            if self.pair[2 * a] == a:
+                self.pair[2 * a] = self._largest(2 * a, a, self.rem)
+
+    @staticmethod
+    def _largest(gap: int, most: int, free: np.ndarray) -> int:
+        """Largest open a <= most with a + b = gap and b <= a open too; 0 if there is none."""
+        low = (gap + 1) // 2
+        a = np.arange(low, most + 1)
+        ok = (free[a] > 0) & (free[gap - a] > 0)
+        if 2 * low == gap and len(ok):
+            ok[0] = free[low] > 1
+        hit = np.flatnonzero(ok)
+        return int(a[hit[-1]]) if len(hit) else 0
+
+    def two(self, gap: int, free: np.ndarray) -> tuple[int, int] | None:
+        """Lengths a >= b with a + b = gap, open in ``free``, which holds no more than ``rem``."""
+        for counts in (self.rem, free):
+            a = int(self.pair[gap])
+            if not a:
+                return None
+            b = gap - a
+            if not (counts[a] and counts[b] and (a != b or counts[a] > 1)):
+                a = self._largest(gap, a, counts)
+                if counts is self.rem:
+                    self.pair[gap] = a
+        return (a, gap - a) if a else None
+
+    def three(self, gap: int, free: np.ndarray) -> tuple[int, int, int] | None:
+        """Lengths that sum up to gap, open in ``free``, the first as large as can be."""
+        a = np.arange(1, int(self.triple[gap]) + 1)
+        for x in a[(free[a] > 0) & (self.pair[gap - a] > 0)][::-1]:
+            free[x] -= 1
+            rest = self.two(int(gap - x), free)
+            free[x] += 1
+            if rest:
+                return (int(x), *rest)
         return None
-    n = 1 << (2 * gap + 2).bit_length()
-    f = np.fft.rfft(mask, n)
-    sums = np.fft.irfft(f * f, n)[: gap + 1] > 0.5
-    a = np.arange(gap, 0, -1)
-    for x in a[(mask[a] > 0) & sums[gap - a]]:
-        rem[x] -= 1
-        found = _pair(rem, int(gap - x))
-        rem[x] += 1
-        if found:
-            return (int(x), *found)
-    return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -64,7 +97,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
     rem = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         rem[length] += n
-    top, out = capacity, []
+    top, out, sums = capacity, [], Sums(rem)
     while True:
         while top and not rem[top]:
             top -= 1
@@ -83,7 +116,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
             if free[gap]:
                 take(gap)
                 break
-            found = _pair(free, gap) or _triple(free, gap)
+            found = sums.two(gap, free) or sums.three(gap, free)
             if found:
                 for x in found:
                     take(x)

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -103,3 +104,19 @@ def test_token_files_awkward(spark, tmp_path):
     assert len(out) == docs.count() and out.doc_id.isna().tolist()[0] and (out.start.shift(-1).dropna() == (out.start + out.n_tokens)[:-1].values).all()
     token_files.write_token_files(docs.where("false"), f"{tmp_path}/e", vocabulary())
     assert token_files.read_token_files(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_sums_against_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        capacity = int(rng.integers(3, 30))
+        rem = np.zeros(capacity + 1, np.int64)
+        for x in rng.integers(1, capacity + 1, rng.integers(1, 8)):
+            rem[x] += rng.integers(1, 3)
+        sums, free = packing.Sums(rem), rem.copy()
+        free[rng.integers(1, capacity + 1)] = 0
+        bag = [x for x in range(1, capacity + 1) for _ in range(free[x])]
+        for gap in range(1, capacity + 1):
+            for found, size in ((sums.two(gap, free), 2), (sums.three(gap, free), 3)):
+                assert (found is not None) == any(sum(c) == gap for c in itertools.combinations(bag, size))
+                assert not found or sum(found) == gap and all(found.count(x) <= free[x] for x in found)
