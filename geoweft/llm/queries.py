@@ -101,7 +101,7 @@ WITH e(kind, pattern, action, since) AS (VALUES {_LIST}
 ), n AS (
   SELECT *, lead(since) OVER (PARTITION BY kind, pattern ORDER BY since) AS until FROM e
 ), p AS (
-  SELECT page_id, url, date '2024-01-01' + (page_id * 37 % 366)::int AS fetched, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS h,
+  SELECT page_id, url, date '2024-01-01' + (page_id * 37 % 366)::int AS fetched, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS h,
     lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/+', '/', 'g')) AS path FROM pages
 ), m AS (
   SELECT p.page_id, p.url, min(struct_pack(kind := n.kind, pattern := n.pattern, since := n.since)) AS r FROM p JOIN n ON n.action = 'add' AND n.since <= p.fetched AND (n.until IS NULL OR p.fetched < n.until)

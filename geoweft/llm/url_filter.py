@@ -3,7 +3,8 @@
 A list entry adds or removes a pattern at a time.  The entries of a pattern, in time order, become
 intervals during which the pattern is active; a capture is judged by the intervals that hold at its
 fetch time.  Patterns are an exact ``host``, a ``domain`` (itself and its subdomains) or a
-``prefix`` (host and leading path segments).
+``prefix`` (host and leading path segments).  Case, dots after a host and slashes after a pattern are no
+difference.
 
 Captures are reduced to distinct (url, fetch time) before anything is joined, and a capture becomes
 one row for each host suffix and path prefix, so the join is by equality whatever the list's size.
@@ -30,7 +31,8 @@ PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
 def intervals(entries: DataFrame) -> DataFrame:
     """kind, pattern, since, until (null: still active) from entries kind, pattern, action, at."""
     known = entries.where("kind is not null and pattern is not null and action in ('add', 'remove') and at is not null")
-    states = known.groupBy("kind", F.lower("pattern").alias("pattern"), "at").agg((F.max("action") == "add").alias("active"))
+    plain = F.regexp_replace(F.lower("pattern"), r"[./]+$", "")
+    states = known.groupBy("kind", plain.alias("pattern"), "at").agg((F.max("action") == "add").alias("active"))
     order = Window.partitionBy("kind", "pattern").orderBy("at")
     changes = states.withColumn("before", F.lag("active").over(order)).where(F.col("active") != F.coalesce("before", F.lit(False)))
     return changes.withColumn("until", F.lead("at").over(order)).where("active").select("kind", "pattern", F.col("at").alias("since"), "until")
@@ -51,7 +53,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     active = materialize(intervals(entries), "intervals")
     small = active.count() <= BROADCAST_INTERVALS
     seen = captures.select(F.col(url).alias("u"), F.col(fetched).alias("t")).where("u is not null and t is not null").distinct()
-    host = F.lower(F.regexp_extract("u", HOST, 1))
+    host = F.rtrim(F.lower(F.regexp_extract("u", HOST, 1)), F.lit("."))
     seen = seen.withColumn("h", host).where("h <> ''").withColumn("k", F.explode(keys(F.col("h"), F.regexp_extract("u", PATH, 1))))
     seen = seen.select("u", "t", F.col("k.kind").alias("kind"), F.col("k.pattern").alias("pattern"))
     hits = seen.join(F.broadcast(active) if small else active, ["kind", "pattern"]).where("since <= t and (until is null or t < until)")

@@ -244,6 +244,9 @@ def test_url_intervals(spark):
     caps = spark.createDataFrame(u, "id int, url string, fetched string").withColumn("fetched", F.col("fetched").cast("timestamp")).withColumn("kind", F.lit("mine"))
     out = url_filter.filter_urls(caps, entries).collect()
     assert len(out) == 12 and {r.id for r in out if r.blocked} == {1, 3, 6} and {r.kind for r in out} == {"mine"}
+    marks = spark.createDataFrame([("domain", "Bad.org.", "add", "2024-01-01"), ("prefix", "y.net/a/", "add", "2024-01-01")], "kind string, pattern string, action string, at string")
+    dotted = spark.createDataFrame([(1, "http://w.bad.org./x"), (2, "http://y.net/a"), (3, "http://y.net./A/b"), (4, "http://y.net/ab")], "id int, url string").withColumn("fetched", F.to_timestamp(F.lit("2024-02-02")))
+    assert {r.id for r in url_filter.filter_urls(dotted, marks.withColumn("at", F.col("at").cast("timestamp"))).collect() if r.blocked} == {1, 2, 3}
     assert url_filter.filter_urls(caps, entries.where("false")).where("blocked").count() == 0
     assert url_filter.filter_urls(caps.where("false"), entries).count() == 0
 
