@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.store import materialize
 from ._memory import task
 from .crf import Crf, Scorer, clean, forget, places, scorer_for, split, train
 from .langid import held_out, sample
@@ -111,7 +112,14 @@ def _calibrate(summary: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Toxicity | None:
     """Learns from documents and labels that are not held out."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    texts = sample(docs.select("doc_id", "text").join(known, "doc_id"), "toxic", per_label, 13)
+    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # two rows
+    draw, grain = F.xxhash64(F.lit(13), "doc_id"), 1 << 30
+    share = F.lit(0)
+    for label, n in sizes.items():  # more ids than texts are wanted, for some have no text or the same
+        share = F.when(F.col("toxic") == label, F.lit(min(grain, 2 * grain * per_label // n))).otherwise(share)
+    ids = known.where(F.pmod(draw, F.lit(grain)) < share).orderBy(draw, "toxic").limit(8 * per_label)
+    drawn = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "labelled")
+    texts = sample(drawn, "toxic", per_label, 13)
     if len({t[0] for t in texts}) < 2:
         return None
     words = [[clean(c) for c in split(t)] for _, t in texts]
