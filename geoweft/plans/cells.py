@@ -1,14 +1,17 @@
 """Bucketed spatial joins: equality on grid cells, then the exact predicate.
 
-No tree is built: points fall into cells, boxes into the cells they touch, and Catalyst plans an
-ordinary equi-join that adaptive execution can split where a cell is hot.
+Points fall into cells, boxes into the cells they touch, and Catalyst plans an ordinary equi-join that
+adaptive execution can split where a cell is hot.  Nearest neighbours are joined on the leaves of a tree.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quadtree
+
 
 def cell(value: Column, size) -> Column:
     return F.floor(value / size).cast("long")
@@ -48,38 +51,46 @@ def extent(points: DataFrame, x="x", y="y"):
     return points.agg(F.count(x).alias("n"), F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax")).first()
 
 
+def _fewer(right: DataFrame, rid: str, k: int) -> DataFrame:
+    """At most k points of least id at each place; a place is ranked in parts first."""
+    for by in (["x2", "y2", F.pmod(F.xxhash64(rid), F.lit(256))], ["x2", "y2"]):
+        right = right.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(rid))).where(F.col("_place") <= k)
+    return right.drop("_place")
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, lid="id", rid="id2", exclude_self: bool = False, within: float | None = None) -> DataFrame:
     """The k nearest right points (rid, x2, y2) of each left point (lid, x, y): lid, rid, d, rank.
 
-    Rings of cells grow until each point has k neighbours no farther than the searched radius; ties go
-    to the smaller rid.  Points that are settled leave the search, so each round handles fewer.
+    A quadtree of the right points, of bounded size, tells each left point the leaves that may hold its
+    neighbours and how far they can be; one equi-join on the leaf and one ranking follow.  Ties go to the
+    smaller rid; points without a place have no neighbours.
     """
-    e = extent(right, "x2", "y2")
+    right = right.select(rid, F.col("x2").cast("double").alias("x2"), F.col("y2").cast("double").alias("y2")).where("x2 is not null and y2 is not null and not isnan(x2) and not isnan(y2)")
+    e, kind = extent(right, "x2", "y2"), left.schema[lid].dataType.simpleString()
     if not e.n:
         return left.select(lid).where("false").select(lid, F.lit(None).cast("long").alias(rid), F.lit(0.0).alias("d"), F.lit(0).alias("rank"))
-    le = extent(left)
-    wide = max(e.xmax - e.xmin, e.ymax - e.ymin, 1e-9)
-    size = max(wide / max(1.0, (e.n / (2.0 * max(k, 1))) ** 0.5), wide * 1e-6)
-    reach = max(abs(v) for v in ((le.xmax or 0) - e.xmin, e.xmax - (le.xmin or 0), (le.ymax or 0) - e.ymin, e.ymax - (le.ymin or 0))) * 1.5 + size
-    if within:
-        reach, size = within, min(size, within)
-    todo, done, radius = left.select(lid, "x", "y"), None, min(size, reach)
+    wide = max(e.xmax - e.xmin, e.ymax - e.ymin, 1e-9) * (1 + 1e-9)
+    tree, wanted = quadtree.build(right, e.n, (e.xmin, e.ymin), wide), k + int(exclude_self)
+    if ((tree.level == quadtree.DEPTH) & (tree.n > quadtree.LEAF)).any():
+        right = _fewer(right, rid, wanted)
+    sent, limit = left.sparkSession.sparkContext.broadcast(tree), float("inf") if within is None else float(within)
+
+    def probe(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 2000):
+                part = pdf.iloc[at : at + 2000]
+                who, leaf, radius = sent.value.needed(part.x.to_numpy(float), part.y.to_numpy(float), wanted, limit)
+                yield part.iloc[who].assign(leaf=leaf, reach=radius)
+
+    @F.pandas_udf("long")
+    def leaf_of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.leaf(x.to_numpy(), y.to_numpy()))
+
+    places = left.select(lid, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    asked = places.mapInPandas(probe, f"`{lid}` {kind}, x double, y double, leaf long, reach double")
+    pairs = asked.join(right.withColumn("leaf", leaf_of("x2", "y2")), "leaf").withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
+    pairs = pairs.where((F.col("d") <= F.col("reach")) & (F.col("d") <= F.lit(limit)))
+    if exclude_self:
+        pairs = pairs.where(F.col(lid) != F.col(rid))
     order = Window.partitionBy(lid).orderBy("d", rid)
-    while True:
-        last = radius >= reach
-        found = point_pairs(todo, right.select(rid, "x2", "y2"), radius)
-        if exclude_self:
-            found = found.where(F.col(lid) != F.col(rid))
-        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(lid, rid, "d", "rank")
-        if last:
-            part = ranked
-        else:
-            full = ranked.groupBy(lid).count().where(F.col("count") >= min(k, max(1, e.n - int(exclude_self)))).select(lid)
-            part = ranked.join(full, lid, "left_semi")
-        done = part if done is None else done.unionByName(part)
-        if last:
-            return done
-        todo = todo.join(full, lid, "left_anti")
-        if todo.isEmpty():
-            return done
-        radius = min(radius * 3, reach)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(lid, rid, "d", "rank")
