@@ -78,6 +78,37 @@ def contains(geom: Geometry, pts: np.ndarray, boundary: bool = True) -> np.ndarr
     return inside | on if boundary else inside & ~on
 
 
+def trapezoids(geom: Geometry) -> np.ndarray:
+    """Rows y0, y1 and the left and right x at both: the polygon cut at the heights of its vertices."""
+    edges = np.concatenate([np.column_stack([r[:-1], r[1:]]) for part in geom for r in part if len(r) > 1] or [np.empty((0, 4))])
+    edges = edges[edges[:, 1] != edges[:, 3]]
+    flip = edges[:, 1] > edges[:, 3]
+    edges[flip] = edges[flip][:, [2, 3, 0, 1]]
+    heights, out = np.unique(edges[:, [1, 3]]), []
+    for low, high in zip(heights[:-1], heights[1:]):
+        e = edges[(edges[:, 1] <= low) & (edges[:, 3] >= high)]
+        slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
+        at = np.column_stack([e[:, 0] + slope * (low - e[:, 1]), e[:, 0] + slope * (high - e[:, 1])])
+        at = at[np.argsort(at.sum(axis=1), kind="stable")]
+        out += [(low, high, l[0], l[1], r[0], r[1]) for l, r in zip(at[::2], at[1::2])]
+    return np.array(out, float).reshape(-1, 6)
+
+
+def random_points(geom: Geometry, rng: np.random.Generator, n: int) -> np.ndarray:
+    """``n`` uniform points of a polygon; none where it has no area."""
+    t = trapezoids(geom)
+    bottom, top = t[:, 4] - t[:, 2], t[:, 5] - t[:, 3]
+    size = np.maximum((bottom + top) * (t[:, 1] - t[:, 0]), 0)
+    if not size.sum():
+        return np.empty((0, 2))
+    k = rng.choice(len(t), n, p=size / size.sum())
+    t, bottom, top, u, v = t[k], bottom[k], top[k], rng.random(n), rng.random(n)
+    # height: the share of the area below it is u
+    h = u * (bottom + top) / (bottom + np.sqrt(bottom**2 + u * (top**2 - bottom**2)))
+    left, right = t[:, 2] + h * (t[:, 3] - t[:, 2]), t[:, 4] + h * (t[:, 5] - t[:, 4])
+    return np.column_stack([left + v * (right - left), t[:, 0] + h * (t[:, 1] - t[:, 0])])
+
+
 def contains_column(region):
     """A function of two columns: whether the place lies in ``region``."""
     from pyspark.sql import functions as F

@@ -164,8 +164,8 @@ def _local(df: DataFrame, s: DataFrame, index: str, z: str, names: tuple[str, st
     bad = F.col("_z").isNull() | F.isnan("_z") | (F.abs("_z") == float("inf"))
     s = s.withColumn("_bad", bad).withColumn("_index", F.when(bad, 0.0).otherwise(F.col("_index"))).withColumn("_z", F.when(bad, 0.0).otherwise(F.col("_z")))
     p = F.when(F.col("_bad"), 1.0).otherwise(zprob("_z"))
-    cols = [F.round("_index", 8).alias(names[0])] if names[0] else []
-    cols += [F.round("_z", 8).alias(names[1]), F.round(p, 8).alias(names[2])]
+    cols = [F.col("_index").alias(names[0])] if names[0] else []
+    cols += [F.col("_z").alias(names[1]), p.alias(names[2])]
     cols += [F.expr(safe(e)).alias(n) for n, e in (extra or {}).items()]
     r = s.select(F.col("id").alias("_id"), *cols)
     return df.join(r, df[fid] == r["_id"]).drop("_id")
@@ -191,7 +191,7 @@ def local_g(df, field, concept="InverseDistance", method="Euclidean", standardiz
     sd = "sqrt(sx2 / n - mx * mx)"
     z = f"(swx - sw * mx) / ({sd} * sqrt((n * sw2 - sw * sw) / (n - 1)))"
     mean = "sw / (n * (n - 1))"
-    return _local(df, s, "0.0", z, ("", "GiZScore", "GiPValue"), fid, {"GiMean": f"round({mean}, 8)", "GiVar": f"round(sqrt(sw2 / n - power({mean}, 2)), 8)"})
+    return _local(df, s, "0.0", z, ("", "GiZScore", "GiPValue"), fid, {"GiMean": mean, "GiVar": f"sqrt(sw2 / n - power({mean}, 2))"})
 
 
 def local_gearys_c(df, field, concept="InverseDistance", method="Euclidean", standardization="None", band=0.0, k=8, contiguity=None, fid="id") -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import circle, rectangle
 from ..plans import cells
 
 Extent = tuple[float, float, float, float]
+#: Parts into which polygons are dealt to add up their areas.
+PARTS = 1024
 
 
 def _weighted(df: DataFrame, weight: str | None, x: str, y: str) -> DataFrame:
@@ -195,13 +197,20 @@ def random_points(spark: SparkSession, extent: Extent, count: int = 1000, polygo
     from ..functions.expr import area
 
     sized = polygons.withColumn("_a", area(F.col("geom")))
-    total = sized.agg(F.sum("_a")).first()[0] or 1.0
-    shares = sized.withColumn("_n", F.ceil(F.col("_a") / total * count).cast("int"))
-    return random_points_per_feature(shares, "_n", seed).limit(count).withColumn("weight", F.lit(1)).select("fid", "x", "y", "weight")
+    # the points are numbers 0 to count - 1; a polygon gets those in its stretch of the total area
+    order = Window.orderBy("_part")
+    parts = sized.withColumn("_part", F.pmod(F.xxhash64("fid"), F.lit(PARTS)))
+    sums = parts.groupBy("_part").agg(F.sum("_a").alias("_sum"))
+    sums = sums.withColumn("_base", F.sum("_sum").over(order) - F.col("_sum")).withColumn("_total", F.sum("_sum").over(Window.partitionBy())).drop("_sum")
+    within = F.sum("_a").over(Window.partitionBy("_part").orderBy("fid"))
+    shares = parts.withColumn("_high", within).join(F.broadcast(sums), "_part")
+    cut = lambda v: F.least(F.ceil(v / F.col("_total") * count - 1e-9), F.lit(count)).cast("int")
+    shares = shares.withColumn("_n", cut(F.col("_base") + F.col("_high")) - cut(F.col("_base") + F.col("_high") - F.col("_a")))
+    return random_points_per_feature(shares, "_n", seed).withColumn("weight", F.lit(1)).select("fid", "x", "y", "weight")
 
 
 def random_points_per_feature(polygons: DataFrame, expression: str, seed: int = 1, fid: str = "fid") -> DataFrame:
-    """Expression-many points in each polygon, by rejection in its box."""
+    """Expression-many points in each polygon, drawn by trapezoids, so none is rejected; a polygon without area gets none."""
     from .. import kernels
 
     d = polygons.select(F.col(fid).cast("long").alias("fid"), "geom", F.expr(expression).cast("int").alias("n")).where("n > 0")
@@ -212,16 +221,8 @@ def random_points_per_feature(polygons: DataFrame, expression: str, seed: int =
         for pdf in batches:
             out = []
             for f, g, n in zip(pdf.fid, pdf.geom, pdf.n):
-                geom = kernels.to_numpy(g)
                 rng = np.random.default_rng([seed, int(f) & 0xFFFFFFFF])
-                got = np.empty((0, 2))
-                lo, hi = kernels.geometry_bounds(geom)
-                for _ in range(1000):
-                    if len(got) >= n:
-                        break
-                    p = rng.uniform(lo, hi, (max(16, 2 * n), 2))
-                    got = np.concatenate([got, p[kernels.contains(geom, p)]])
-                out += [(f, i + 1, a, b) for i, (a, b) in enumerate(got[:n].tolist())]
+                out += [(f, i + 1, a, b) for i, (a, b) in enumerate(kernels.random_points(kernels.to_numpy(g), rng, n).tolist())]
             yield pd.DataFrame(out, columns=["fid", "num", "x", "y"])
 
     return d.mapInPandas(run, "fid long, num int, x double, y double")

@@ -141,12 +141,15 @@ def polygon_points(polygons: DataFrame, points: DataFrame) -> DataFrame:
     m = C.box_points(p, points, cell_size(polygons))
 
     @F.pandas_udf("boolean")
-    def inside(g: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([bool(K.contains(K.to_numpy(v), K.np.array([[a, b]]))[0]) for v, a, b in zip(g, x, y)])
+    def inside(f: pd.Series, g: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        found = K.np.zeros(len(g), bool)
+        for rows in f.groupby(f, sort=False).indices.values():  # the points of one polygon together
+            found[rows] = K.contains(K.to_numpy(g.iloc[rows[0]]), K.np.column_stack([x.iloc[rows], y.iloc[rows]]))
+        return pd.Series(found)
 
     v = F.col("geom")[0][0]
     box = (F.size("geom") == 1) & (F.size(F.col("geom")[0]) == 1) & (F.size(v) == 5) & (v[0].x == v[3].x) & (v[1].x == v[2].x) & (v[0].y == v[1].y) & (v[2].y == v[3].y)
-    exact = m.where(box).unionByName(m.where(~box).where(inside("geom", F.col("x").cast("double"), F.col("y").cast("double"))))
+    exact = m.where(box).unionByName(m.where(~box).where(inside(F.hash("geom"), "geom", F.col("x").cast("double"), F.col("y").cast("double"))))
     return exact.drop("geom", "xmin", "ymin", "xmax", "ymax").withColumnRenamed("_fid", "poly_fid")
 
 

@@ -147,9 +147,9 @@ def hub_lines_by_distance(s, d):
     return joins.hub_lines_by_distance(X.suppliers(s, d), X.customers(s, d), 80.0).drop("geom")
 
 
-@query(f"SELECT c.fid, round(sqrt((c.x - h.x) ** 2 + (c.y - h.y) ** 2), 6) AS hub_dist FROM {C} c JOIN (SELECT * FROM {S} WHERE fid <= 25) h ON c.nk + 1 = h.fid WHERE sqrt((c.x - h.x) ** 2 + (c.y - h.y) ** 2) BETWEEN 1e-12 AND 500")
+@query(f"SELECT c.fid, round(sqrt((c.x - h.x) ** 2 + (c.y - h.y) ** 2), 6) AS hub_dist FROM {C} c JOIN {S} h ON c.nk + 1 = h.fid WHERE sqrt((c.x - h.x) ** 2 + (c.y - h.y) ** 2) BETWEEN 1e-12 AND 500")
 def hub_lines_by_id(s, d):
-    return joins.hub_lines_by_id(X.suppliers(s, d).where("fid <= 25"), "fid", X.customers(s, d).withColumn("hub", F.col("nk") + 1), "hub", 500.0).select("fid", "hub_dist")
+    return joins.hub_lines_by_id(X.suppliers(s, d), "fid", X.customers(s, d).withColumn("hub", F.col("nk") + 1), "hub", 500.0).select("fid", "hub_dist")
 
 
 @query(f"SELECT z.fid, count(c.fid) AS count, round(sum(c.w), 4) AS sum_w, round(avg(c.w), 4) AS avg_w FROM {Z} z LEFT JOIN {C} c ON c.x BETWEEN z.xmin AND z.xmax AND c.y BETWEEN z.ymin AND z.ymax GROUP BY z.fid", 4)
@@ -559,7 +559,7 @@ def multiple_ring_buffer(s, d):
     return shape(buffers.multiple_ring_buffer(X.suppliers(s, d), [5, 12]), "fid", "distance").select("fid", "distance", "area")
 
 
-@query(f"SELECT fid, round(sqrt(2500 + (fid % 40) ** 2) * 4, 4) AS area FROM {S} WHERE fid <= 100", 4)
+@query(f"SELECT fid, round(sqrt(2500 + (fid % 40) ** 2) * 4, 4) AS area FROM {S}", 4)
 def single_sided_buffer(s, d):
     return shape(buffers.single_sided_buffer(X.lines(s, d), "4"), "fid").select("fid", "area")
 
@@ -637,12 +637,12 @@ def vertices_to_points(s, d):
     return construct.vertices_to_points(X.lines(s, d)).select("fid", "vertex", "x", "y")
 
 
-@query(f"SELECT fid, count(*) AS n FROM (SELECT fid, unnest(range(ceil(sqrt(2500 + (fid % 40) ** 2) / 7)::int + 1)) FROM {S} WHERE fid <= 100) GROUP BY fid")
+@query(f"SELECT fid, count(*) AS n FROM (SELECT fid, unnest(range(ceil(sqrt(2500 + (fid % 40) ** 2) / 7)::int + 1)) FROM {S}) GROUP BY fid")
 def points_along_lines(s, d):
     return construct.points_along_lines(X.lines(s, d), "7").groupBy("fid").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT fid, round(sqrt(2500 + (fid % 40) ** 2) * 4, 4) AS area FROM {S} WHERE fid <= 50", 4)
+@query(f"SELECT fid, round(sqrt(2500 + (fid % 40) ** 2) * 4, 4) AS area FROM {S}", 4)
 def polygons_along_lines(s, d):
     return shape(construct.polygons_along_lines(X.lines(s, d), "20", "4"), "fid").groupBy("fid").agg(F.sum("area").alias("area"))
 
@@ -693,10 +693,10 @@ def split_line_at_vertices(s, d):
     return edit.split_line_at_vertices(X.zones(s)).select("fid", "se_order", E.length(F.col("geom")).alias("len"))
 
 
-@query(f"SELECT fid, CASE WHEN fid <= 20 THEN 2 ELSE 1 END::bigint AS n FROM {S} WHERE fid <= 40")
+@query(f"SELECT fid, 2::bigint AS n FROM {S}")
 def split_line_at_point(s, d):
     lines = X.lines(s, d).withColumn("geom", F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct(v.x.alias("x"), (v.y + F.col("fid") * 10000).alias("y"))))))
-    mid = lines.where("fid <= 20").select("fid", ((F.col("geom")[0][0][0].x + F.col("geom")[0][0][1].x) / 2).alias("x"), ((F.col("geom")[0][0][0].y + F.col("geom")[0][0][1].y) / 2).alias("y"))
+    mid = lines.select("fid", ((F.col("geom")[0][0][0].x + F.col("geom")[0][0][1].x) / 2).alias("x"), ((F.col("geom")[0][0][0].y + F.col("geom")[0][0][1].y) / 2).alias("y"))
     return edit.split_line_at_point(lines, mid, 0.01).groupBy("fid").agg(F.count("*").alias("n"))
 
 
@@ -732,7 +732,7 @@ def intersection_points(s, d):
     return edit.intersection_points(across, X.zones(s)).select("x", "y").where("y < 918")
 
 
-@query(f"SELECT fid, 3::bigint AS n FROM {S} WHERE fid % 40 <> 0 AND fid <= 100")
+@query(f"SELECT fid, 3::bigint AS n FROM {S}")
 def simplify(s, d):
     lines = X.lines(s, d)
     bent = edit.densify(lines.withColumn("geom", F.array(F.array(F.concat(F.col("geom")[0][0], F.array(F.struct((F.col("geom")[0][0][1].x).alias("x"), (F.col("geom")[0][0][1].y + 500).alias("y"))))))), "10")

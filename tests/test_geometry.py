@@ -97,3 +97,18 @@ def test_ecql():
 
 def test_ranges():
     assert raster.parse_ranges("0 10 1; 10 20 2;") == [(0.0, 10.0, 1), (10.0, 20.0, 2)]
+
+
+def test_random_points_are_uniform_and_inside():
+    rng = np.random.default_rng(2)
+    ring = np.array([(0, 0), (10, 0), (10, 4), (5, 4), (5, 10), (0, 10), (0, 0)], float)  # an L of area 70 with a hole of 4
+    hole = np.array([(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)], float)
+    p = K.random_points([[ring, hole]], rng, 40_000)
+    assert len(p) == 40_000 and K.contains([[ring, hole]], p).all()
+    assert (p[:, 1] > 4).mean() == pytest.approx(30 / 66, abs=0.01) and (p[:, 0] > 5).mean() == pytest.approx(20 / 66, abs=0.01)
+    triangle = np.array([(0, 0), (6, 0), (0, 3), (0, 0)], float)
+    q = K.random_points([[triangle]], rng, 40_000)
+    assert q.mean(axis=0) == pytest.approx([2, 1], abs=0.03)
+    sliver = np.array([(0, 0), (1e6, 1e6), (1e6, 1e6 + 1e-3), (0, 0)], float)
+    assert len(K.random_points([[sliver]], rng, 5)) == 5
+    assert len(K.random_points([[np.array([(0, 0), (1, 0), (0, 0)], float)]], rng, 5)) == 0
