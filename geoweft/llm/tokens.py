@@ -3,7 +3,7 @@
 For a vocabulary that drops white space and marks word ends, a text is encoded as the concatenation
 of its blank-separated chunks: white space never joins two pre-tokens, and ASCII lower-casing
 commutes with the normalizer.  Chunk encodings are remembered per Python worker, in two generations
-of ``memo_entries`` each, until the end of a task, so memory is bounded.  A chunk that is not remembered goes through the
+of ``memo_entries`` each, of which the younger outlives a task, so memory is bounded.  A chunk that is not remembered goes through the
 library's BPE model by pre-token where its characters make normalization plain (ASCII and Latin
 letters), which takes a third of the time, and through the library's whole encoder otherwise.  Other vocabularies encode each text in
 one call.
@@ -44,7 +44,7 @@ class _Memo(dict):
         self.learn, self.entries, self.old = learn, entries, {}
 
     def forget(self) -> None:
-        self.clear()
+        """Only the younger generation stays for the next task."""
         self.old = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
