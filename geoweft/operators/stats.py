@@ -210,13 +210,15 @@ def cluster_gam(population: DataFrame, pop_field: str, cases: DataFrame, case_fi
 
 
 def besag_newell(population: DataFrame, pop_field: str, cases: DataFrame, case_field: str, neighbours: int = 10, kind: str = "Poisson", threshold: float = 0.01, fid="id") -> DataFrame:
-    """Circles from each case to its k-th nearest case; the population field is read from the population."""
+    """Circles from each case to its k-th nearest case, with those k cases; the population field is read from the population."""
     c = cases.select(F.col(fid).alias("id"), "x", "y", F.coalesce(_number(case_field), F.lit(0.0)).alias("cas"))
     near = cells.nearest(c, c.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2")), neighbours, "id", "id2", exclude_self=True)
-    circles = near.groupBy("id").agg(F.max("d").alias("r")).where("r > 0").join(c, "id").select(F.col("id").alias("cid"), F.col("x").alias("cx"), F.col("y").alias("cy"), "r")
+    near = near.join(c.select(F.col("id").alias("id2"), "cas"), "id2")
+    circles = near.groupBy("id").agg(F.max("d").alias("r"), F.sum("cas").alias("cases")).where("r > 0").join(c.drop("cas"), "id")
+    circles = circles.select(F.col("id").alias("cid"), F.col("x").alias("cx"), F.col("y").alias("cy"), "r", "cases")
     p = population.select("x", "y", F.coalesce(_number(pop_field), F.lit(0.0)).alias("pop"), F.lit(0.0).alias("cas")).unionByName(c.select("x", "y", F.lit(0.0).alias("pop"), "cas"))
     t = p.agg((F.sum("cas") / F.sum("pop")).alias("_rate"))
     size = circles.agg(F.max("r")).first()[0] or 1.0
-    s = circles.join(_circle_counts(circles, p, size, ("population", "cases")), "cid").crossJoin(F.broadcast(t)).withColumn("expected", F.col("population") * F.col("_rate"))
+    s = circles.join(_circle_counts(circles, p, size, ("population", "_all")), "cid").crossJoin(F.broadcast(t)).withColumn("expected", F.col("population") * F.col("_rate"))
     ok, stat = fitness(F.col("expected"), F.col("cases"), threshold, kind)
     return s.where(ok).select(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("r").alias("radius"), "population", "cases", "expected", stat.alias("fitness")).withColumn("geom", circle(F.col("x"), F.col("y"), F.col("radius")))
