@@ -233,6 +233,39 @@ def segment_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.hypot(*(p - (a + t[:, None] * d)).T)
 
 
+def _segments(geom: Geometry) -> np.ndarray:
+    return np.concatenate([np.column_stack([r[:-1], r[1:]]) for part in geom for r in part if len(r) > 1] or [np.empty((0, 4))])
+
+
+def contact(a: Geometry, b: Geometry) -> tuple[bool, float]:
+    """Whether two boundaries meet, and the length they have in common."""
+    p, q = _segments(a), _segments(b)
+    if not len(p) or not len(q):
+        return False, 0.0
+    near = 1e-9 * max(1.0, float(np.abs(p).max()), float(np.abs(q).max()))
+    low, high = np.minimum(q[:, :2], q[:, 2:]).min(axis=0) - near, np.maximum(q[:, :2], q[:, 2:]).max(axis=0) + near
+    p = p[(np.maximum(p[:, :2], p[:, 2:]) >= low).all(axis=1) & (np.minimum(p[:, :2], p[:, 2:]) <= high).all(axis=1)]
+    met, common = False, 0.0
+    for x0, y0, x1, y1 in p.tolist():
+        dx, dy = x1 - x0, y1 - y0
+        size = math.hypot(dx, dy)
+        if not size:
+            continue
+        # b's ends along and beside the segment of a
+        along = ((q[:, 0::2] - x0) * dx + (q[:, 1::2] - y0) * dy) / size
+        beside = ((q[:, 1::2] - y0) * dx - (q[:, 0::2] - x0) * dy) / size
+        inside = np.minimum(along.max(axis=1), size) - np.maximum(along.min(axis=1), 0)
+        flat = (np.abs(beside) <= near).all(axis=1)
+        common += float(np.maximum(inside[flat], 0).sum())
+        met = met or bool((flat & (inside >= -near)).any())
+        other = ~flat & (beside.min(axis=1) <= near) & (beside.max(axis=1) >= -near)
+        if not met and other.any():
+            t = beside[other, 0] / (beside[other, 0] - beside[other, 1])
+            cut = along[other, 0] + np.clip(t, 0, 1) * (along[other, 1] - along[other, 0])
+            met = bool(((cut >= -near) & (cut <= size + near)).any())
+    return met or common > near, common if common > near else 0.0
+
+
 def inscribed_circle(geom: Geometry, tolerance: float = 1.0) -> tuple[float, float, float]:
     """Pole of inaccessibility by halving cells."""
     lo, hi = geometry_bounds(geom)

@@ -304,6 +304,21 @@ def cut_fill_between(before: Raster, after: Raster, region=None, base_height: fl
     return _cut_fill(d.withColumn("diff", F.col("va") - F.col("vb")), before.meta.dx * before.meta.dy)
 
 
+def cut_fill_regions(before: Raster, after: Raster | None = None, base_height: float | None = None, region=None) -> DataFrame:
+    """Polygons of connected cells to cut (flag 1), to fill (-1) or unchanged (0), against a height (the mean) or another raster."""
+    from .rastervec import to_polygons
+
+    d = _joined(before, after) if after is not None else before.band().withColumn("va", F.col("value"))
+    if region is not None:
+        d = d.where(_shape(before.meta, d, region))
+    if after is None:
+        base = F.lit(float(base_height)) if base_height is not None else F.col("_base")
+        d = d.crossJoin(F.broadcast(d.agg(F.avg("va").alias("_base")))).withColumn("vb", base)
+    flags = d.select(F.lit(0).alias("band"), "row", "col", F.signum(F.col("va") - F.col("vb")).alias("value"))
+    found = to_polygons(before.with_cells(flags.where("value is not null")), field="flag")
+    return found.withColumn("flag", F.col("flag").cast("int"))
+
+
 def surface_area(r: Raster, region=None) -> DataFrame:
     """Planar and surface area of the two triangles of each square of neighbouring cell centres."""
     d = r.band().where(_shape(r.meta, r.cells, region)) if region is not None else r.band()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +91,19 @@ def rectangle_contiguity(boxes: DataFrame, kind: str = "Queen", size: float | No
     corner = (F.least("xmax", "xmax2") - F.greatest("xmin", "xmin2") <= 0) & (F.least("ymax", "ymax2") - F.greatest("ymin", "ymin2") <= 0)
     met = met.where({"Queen": F.lit(True), "Rook": ~corner, "Bishops": corner}[kind])
     return met.select("id", "id2")
+
+
+def polygon_contiguity(df: DataFrame, kind: str = "Queen", fid: str = "fid") -> DataFrame:
+    """id, id2 of polygons (fid, geom) whose boundaries meet: Queen any contact, Rook a common edge, Bishops points only."""
+    from .. import kernels as K
+    from ..operators.overlay import candidates
+
+    @F.pandas_udf("double")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = [K.contact(K.to_numpy(x), K.to_numpy(y)) for x, y in zip(a, b)]
+        return pd.Series([length if met else None for met, length in found], dtype="float64")
+
+    pairs = candidates(df, df, fid, fid).where("_a < _b").withColumn("common", common("_ga", "_gb")).where("common is not null and not isnan(common)")
+    pairs = pairs.where({"Queen": F.lit(True), "Rook": F.col("common") > 0, "Bishops": F.col("common") == 0}[kind])
+    one = pairs.select(F.col("_a").alias("id"), F.col("_b").alias("id2"))
+    return one.union(one.select("id2", "id"))

@@ -387,6 +387,16 @@ def standardized_scores(s, d):
     return autocorr.standardized_scores(X.suppliers(s, d), "cas", "pop").select("fid", "std_scr")
 
 
+@query(
+    f"SELECT a.fid AS id, b.fid AS id2 FROM {Z} a, {Z} b"
+    " WHERE (a.xmin = b.xmin AND (a.ymax = b.ymin OR a.ymin = b.ymax)) OR (a.ymin = b.ymin AND (a.xmax = b.xmin OR a.xmin = b.xmax))"
+)
+def polygon_contiguity(s, d):
+    from .plans.weights import polygon_contiguity
+
+    return polygon_contiguity(X.zones(s), "Rook")
+
+
 @query()
 def local_sa_binning(s, d):
     b = grids.rectangular_binning(X.customers(s, d), 102, 102, bbox=X.EXTENT, valid_grid=False, geometry=False).withColumn("x", F.col("col") * 102 + 51.0).withColumn("y", F.col("row") * 102 + 51.0)
@@ -490,6 +500,14 @@ def polar_grids(s, d):
     return shape(grids.polar_grids(X.suppliers(s, d), [10, 20, 30]), "fid", "angle", "radius", "azimuth")
 
 
+_NAMES = "(VALUES (0, 'N'), (1, 'NE'), (2, 'E'), (3, 'SE'), (4, 'S'), (5, 'SW'), (6, 'W'), (7, 'NW')) AS t(i, azimuth)"
+
+
+@query(f"SELECT i * 45.0 AS angle, r::double AS radius, azimuth FROM {_NAMES}, (VALUES (100), (250)) AS u(r)")
+def polar_grids_from_geometry(s, d):
+    return grids.polar_grids_from_point(s, (500.0, 400.0), [100.0, 250.0]).select("angle", "radius", "azimuth")
+
+
 @query("SELECT 1000::bigint AS n, true AS inside")
 def random_points(s, d):
     return grids.random_points(s, X.EXTENT, 1000).agg(F.count("*").alias("n"), F.min(F.col("x").between(0, 1020) & F.col("y").between(0, 1020)).alias("inside"))
@@ -1014,6 +1032,12 @@ def raster_resample_bilinear(s, d):
     return _cells(raster.resample(X.raster(s), 7.0, "BILINEAR"))
 
 
+@query(f"SELECT sign(value - 50)::int AS flag, count(*) * 100.0 AS area FROM {RA} WHERE value IS NOT NULL GROUP BY 1")
+def raster_cut_fill_regions(s, d):
+    found = raster.cut_fill_regions(X.raster(s), base_height=50.0)
+    return found.groupBy("flag").agg(F.sum(E.area(F.col("geom"))).alias("area"))
+
+
 @query()
 def raster_reproject(s, d):
     from dataclasses import replace

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from geoweft import kernels as K
 from geoweft.functions import expr as E
-from geoweft.operators import aggregate, buffers, composed, construct, distribution, edit, grids, raster, stats, surface
+from geoweft.operators import aggregate, buffers, construct, distribution, edit, grids, raster, stats, surface
+from geoweft.plans.weights import polygon_contiguity
 
 
 def points(spark, xy, **more):
@@ -145,3 +146,27 @@ def test_rings_and_polar_cells(spark):
     one = points(spark, [(0, 0)])
     areas = [r.a for r in grids.polar_grids(one, [10.0, 20.0], "ring", 8).select(E.area(F.col("geom")).alias("a")).collect()]
     assert sum(areas) == pytest.approx(math.pi * 400, rel=0.02)
+
+
+def test_contiguity_of_polygons(spark):
+    # a square, a triangle on half of its right edge, a square at a corner, one apart, an L that follows two edges
+    geoms = [box(0, 0, 10, 10), [[[(10, 0), (15, 0), (10, 5), (10, 0)]]], box(10, 10, 20, 20), box(30, 30, 40, 40), [[[(-5, -5), (10, -5), (10, 0), (0, 0), (0, 10), (-5, 10), (-5, -5)]]]]
+    pairs = lambda kind: {(r.id, r.id2) for r in polygon_contiguity(shapes(spark, geoms), kind).collect()}
+    both = lambda *p: {q for a, b in p for q in ((a, b), (b, a))}
+    assert pairs("Queen") == both((0, 1), (0, 2), (0, 4), (1, 4))
+    assert pairs("Rook") == both((0, 1), (0, 4))
+    assert pairs("Bishops") == both((0, 2), (1, 4))
+    assert K.contact([[np.array(box(0, 0, 10, 10)[0][0], float)]], [[np.array(box(0, 0, 4, 10)[0][0], float)]])[1] == pytest.approx(18)
+
+
+def test_regions_of_cut_and_fill(spark):
+    hill = plane(spark, 10, lambda x, y: F.when(x < 30, 8.0).when(x < 60, 5.0).otherwise(1.0))
+    got = {r.flag: r.a for r in raster.cut_fill_regions(hill, base_height=5.0).select("flag", E.area(F.col("geom")).alias("a")).collect()}
+    assert got == pytest.approx({1: 3000, 0: 3000, -1: 4000})
+    assert {r.flag for r in raster.cut_fill_regions(hill, hill).collect()} == {0}
+
+
+def test_random_points_of_polygons_are_as_many_as_asked(spark):
+    zones = shapes(spark, [box(0, 0, 10, 10), box(20, 0, 21, 1), box(30, 0, 30 + 1e-6, 1), box(40, 0, 50, 30)])
+    for count in (1, 7, 1000):
+        assert grids.random_points(spark, None, count, zones).count() == count
