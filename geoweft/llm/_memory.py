@@ -13,13 +13,6 @@ from contextlib import contextmanager
 _held: dict[str, Callable[[], None]] = {}
 
 
-def hold(owner: str, drop: Callable[[], None]) -> None:
-    """``owner`` fills a memory from here on; the memories of other owners in this process are dropped."""
-    for other in [o for o in _held if o != owner]:
-        _held.pop(other)()
-    _held[owner] = drop
-
-
 def _trim() -> None:
     """Freed pages go back to the system, where the C library can do that."""
     import pyarrow as pa
@@ -30,6 +23,16 @@ def _trim() -> None:
         trim(0)
 
 
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """``owner`` fills a memory from here on; the memories of other owners in this process are dropped."""
+    others = [o for o in _held if o != owner]
+    for other in others:
+        _held.pop(other)()
+    if others:
+        _trim()
+    _held[owner] = drop
+
+
 @contextmanager
 def task(*clear: Callable[[], None]) -> Iterator[None]:
     """What the task gathered is dropped by ``clear`` when it ends, also when it fails."""
