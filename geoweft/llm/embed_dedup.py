@@ -21,7 +21,6 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,24 +47,28 @@ def _vectors(table: DataFrame) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         import xxhash
 
         for batch in batches:
-            dims, raw, h, g = [], [], [], []
-            labels = batch.column(1).to_pylist()
-            for v, label in zip(batch.column(2).to_pylist(), labels):
-                x = None
-                if v and label is not None and None not in v:
-                    x = np.asarray(v, "<f8")
-                    if not np.isfinite(x).all() or not x.any():
-                        x = None
-                b = None if x is None else (x + 0.0).astype(kind).tobytes()
-                d = xxhash.xxh3_128_digest(b or b"")
-                dims.append(0 if x is None else len(x))
-                raw.append(b)
-                h.append(int.from_bytes(d[:8], "little", signed=True))
-                g.append(int.from_bytes(d[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(raw, pa.binary()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], names=["vec_id", "label", "dims", "raw", "h", "g"])
+            lists, size = batch.column(2), batch.num_rows
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            labelled = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            dims, raw, h, g = np.zeros(size, np.int32), [None] * size, np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for d in np.unique(lengths[labelled & (lengths > 0)]).tolist():
+                at = np.flatnonzero(labelled & (lengths == d))
+                # a null component becomes NaN
+                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                x = (x[good] + 0).astype(kind)
+                for i, v in zip(at[good].tolist(), x):
+                    raw[i] = v.tobytes()
+                    digest = xxhash.xxh3_128_digest(raw[i])
+                    dims[i] = d
+                    h[i] = int.from_bytes(digest[:8], "little", signed=True)
+                    g[i] = int.from_bytes(digest[8:], "little", signed=True)
+            columns = [batch.column(0), batch.column(1), pa.array(dims), pa.array(raw, pa.binary()), pa.array(h), pa.array(g)]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "dims", "raw", "h", "g"])
 
     cols = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     return cols.mapInArrow(run, "vec_id long, label string, dims int, raw binary, h long, g long")
@@ -111,36 +114,39 @@ def _cells(reps: DataFrame, budget: float, grid: int, carry: bool) -> DataFrame:
     return reps.select("rep", "label", "dims", "raw", "n").mapInArrow(run, "label string, dims int, block int, cell long, rep long" + (", n long, raw binary" if carry else ""))
 
 
-def _joined(pdf: pd.DataFrame, cosine: float, budget: float, grid: int) -> pd.DataFrame:
-    """Links of one cell: rows (u, null, n) are counts, rows (u, v, 0) a spanning forest."""
-    dims, j, cell = int(pdf.dims.iloc[0]), int(pdf.block.iloc[0]), int(pdf.cell.iloc[0])
-    low, high = pdf.lo.iloc[0], pdf.hi.iloc[0]
-    unit, rep, n = _unit(pdf.raw, dims), pdf.rep.to_numpy(), pdf.n.to_numpy()
-    y, blocks = unit @ rotation(dims), _blocks(dims)
+def _hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of a[i] and b[i]; every node of ``root`` points to the least of its tree."""
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _joined(unit: np.ndarray, y: np.ndarray, rep: np.ndarray, n: np.ndarray, mine: np.ndarray, j: int, cell: int, low: int, high: int, cosine: float, budget: float, grid: int):
+    """Links of one cell: how many each row has, and for each row the row that stands for its tree."""
+    dims = unit.shape[1]
+    blocks = _blocks(dims)
     shares = [budget * (s.stop - s.start) / dims + 1e-9 for s in blocks]
     r = math.sqrt(budget * (blocks[j].stop - blocks[j].start) / dims) + 1e-9
     own = y[:, blocks[j]]
     at = own[:, :grid]
-    mine = pdf.mine.to_numpy()
     first = np.flatnonzero(mine == low)
     second = first if low == high else np.flatnonzero(mine == high)
-    counts = np.zeros(len(pdf), np.int64)
-    root = np.arange(len(pdf))
-    edges = []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    counts = np.zeros(len(unit), np.int64)
+    root = np.arange(len(unit))
     square = (own * own).sum(axis=1)
     for part in np.array_split(first, max(1, len(first) // 256)):
         d = square[part][:, None] + square[second][None] - 2 * own[part] @ own[second].T
         p, q = np.nonzero(d <= shares[j] + 1e-9)
         p, q = part[p], second[q]
         if low == high:
-            p, q = p[rep[p] < rep[q]], q[rep[p] < rep[q]]
+            once = rep[p] < rep[q]
+            p, q = p[once], q[once]
         for s in range(0, len(p), 100_000):
             a, b = p[s : s + 100_000], q[s : s + 100_000]
             top = np.floor(np.maximum(at[a], at[b]) / (2 * r)).astype(np.int64)
@@ -156,13 +162,74 @@ def _joined(pdf: pd.DataFrame, cosine: float, budget: float, grid: int) -> pd.Da
                 a, b = a[ok], b[ok]
             np.add.at(counts, a, n[b])
             np.add.at(counts, b, n[a])
-            for x, z in zip(a.tolist(), b.tolist()):
-                x, z = find(x), find(z)
-                if x != z:
-                    root[z] = x
-                    edges.append((rep[x], rep[z], 0))
-    rows = [(rep[i], None, counts[i]) for i in np.flatnonzero(counts)] + edges
-    return pd.DataFrame(rows, columns=["u", "v", "n"]).astype({"u": "Int64", "v": "Int64", "n": "Int64"})
+            _hook(root, a, b)
+    return counts, root
+
+
+#: A cell's key, by which its rows are shuffled and sorted.
+KEY = ["label", "dims", "block", "cell", "lo", "hi"]
+
+
+def _cell_links(cosine: float, budget: float, grid: int):
+    """For mapInArrow over rows sorted by KEY: rows (u, null, n) are counts, rows (u, v, 0) a spanning forest.
+
+    Only the rows of a batch and of the cell at its end, at most 2 * CELL_ROWS, are held.
+    """
+
+    def limits(table) -> np.ndarray:
+        """Where each cell starts, and the end."""
+        import pyarrow.compute as pc
+
+        change = np.zeros(table.num_rows - 1, bool)
+        for name in KEY:
+            c = table.column(name)
+            change |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy()
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+
+    def links(table, starts):
+        import pyarrow as pa
+
+        dims, block, cell, low, high, rep, n, mine = (table.column(c).to_numpy() for c in ("dims", "block", "cell", "lo", "hi", "rep", "n", "mine"))
+        raw, u, v, k = table.column("raw").to_pylist(), [], [], []
+        s = 0
+        while s < len(starts) - 1:  # cells that follow one another and have equal dimensions are rotated at once
+            e = s + 1
+            while e < len(starts) - 1 and dims[starts[e]] == dims[starts[s]]:
+                e += 1
+            base, d = starts[s], int(dims[starts[s]])
+            unit = _unit(raw[base : starts[e]], d)
+            y = unit @ rotation(d)
+            for g in range(s, e):
+                a, b = starts[g], starts[g + 1]
+                if b - a < 2:
+                    continue
+                i, o = slice(a, b), slice(a - base, b - base)
+                counts, root = _joined(unit[o], y[o], rep[i], n[i], mine[i], int(block[a]), int(cell[a]), int(low[a]), int(high[a]), cosine, budget, grid)
+                linked, hung = np.flatnonzero(counts), np.flatnonzero(root != np.arange(b - a))
+                u += [rep[i][linked], rep[i][hung]]
+                v += [np.full(len(linked), -1), rep[i][root[hung]]]
+                k += [counts[linked], np.zeros(len(hung), np.int64)]
+            s = e
+        u, v, k = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (u, v, k))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=k > 0), pa.array(k)], names=["u", "v", "n"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([kept, table]) if kept is not None else table).combine_chunks()
+            starts = limits(table)
+            kept = table.slice(starts[-2])
+            if starts[-2]:
+                yield links(table.slice(0, starts[-2]), starts[:-1])
+        if kept is not None:
+            yield links(kept, limits(kept))
+
+    return run
 
 
 def embedding_links(table: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -182,7 +249,8 @@ def embedding_links(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     cells = _cells(reps, budget, grid, True).join(large, where, "left").withColumn("s", F.ceil(F.coalesce("count", F.lit(1)) / CELL_ROWS))
     cells = cells.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("s"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     cells = cells.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("count", "s", "other")
-    found = cells.groupBy(*where, "lo", "hi").applyInPandas(lambda pdf: _joined(pdf, cosine, budget, grid), "u long, v long, n long")
+    cells = cells.select(*KEY, "rep", "n", "mine", "raw").repartition(*KEY).sortWithinPartitions(*KEY)
+    found = cells.mapInArrow(_cell_links(cosine, budget, grid), "u long, v long, n long")
     found = materialize(found, "embedding-links")
     links = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("more"))
     members = valid.select(node.alias("id"), "row", "label", "dims", "h", "g").join(classes, ["label", "dims", "h", "g"])
