@@ -87,10 +87,11 @@ def _cells(reps: DataFrame, budget: float, grid: int, carry: bool) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             for dims in set(batch.column(2).to_pylist()):
-                part = batch.filter(pa.compute.equal(batch.column(2), dims))
+                part = batch.filter(pc.equal(batch.column(2), dims))
                 y = _unit(part.column(3).to_pylist(), dims) @ rotation(dims)
                 for j, s in enumerate(_blocks(dims)):
                     r = math.sqrt(budget * (s.stop - s.start) / dims) + 1e-9
