@@ -246,7 +246,8 @@ def embedding_links(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     most = reps.groupBy("label", "dims").count().agg(F.max("count")).first()[0] or 1
     grid = min(BLOCK_DIMS, max(1, 1 + int(math.log(max(1, most / 256)) / math.log(3.5))))
     where = ["label", "dims", "block", "cell"]
-    large = _cells(reps, budget, grid, False).groupBy(*where).count().where(F.col("count") > CELL_ROWS)
+    # a stored table has a known size: Spark broadcasts it while small, and the vectors are shuffled once only
+    large = materialize(_cells(reps, budget, grid, False).groupBy(*where).count().where(F.col("count") > CELL_ROWS), "large-cells")
     cells = _cells(reps, budget, grid, True).join(large, where, "left").withColumn("s", F.ceil(F.coalesce("count", F.lit(1)) / CELL_ROWS))
     cells = cells.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("s"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     cells = cells.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("count", "s", "other")
