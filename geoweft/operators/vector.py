@@ -71,8 +71,8 @@ def merge_features(*tables: DataFrame) -> DataFrame:
 
 
 def reproject(df: DataFrame, target: str, source: str) -> DataFrame:
-    P.code(source), P.code(target)
-    return df.withColumn("geom", geometry_udf(lambda g: P.transform_geometry(g, source, target)))
+    s, t = P.system(source), P.system(target)
+    return df.withColumn("geom", geometry_udf(lambda g: P.transform_geometry(g, s, t)))
 
 
 def force_crs(df: DataFrame, crs: str) -> DataFrame:

@@ -112,3 +112,41 @@ def test_random_points_are_uniform_and_inside():
     sliver = np.array([(0, 0), (1e6, 1e6), (1e6, 1e6 + 1e-3), (0, 0)], float)
     assert len(K.random_points([[sliver]], rng, 5)) == 5
     assert len(K.random_points([[np.array([(0, 0), (1, 0), (0, 0)], float)]], rng, 5)) == 0
+
+
+@pytest.mark.parametrize(
+    "code, lon, lat, x, y, within",
+    [
+        ("EPSG:2154", 3.0, 46.5, 700000.0, 6600000.0, 1e-6),
+        ("EPSG:25832", 9.0, 0.0, 500000.0, 0.0, 1e-6),
+    ],
+)
+def test_projected_places(code, lon, lat, x, y, within):
+    u, v = crs.transform_xy(np.array([lon]), np.array([lat]), "EPSG:4258", code)
+    assert u[0] == pytest.approx(x, abs=within) and v[0] == pytest.approx(y, abs=within)
+
+
+def test_published_examples_of_projections():
+    """Worked examples of the guidance note on projections: transverse Mercator on Airy's ellipsoid, Lambert on two parallels."""
+    e, n = crs.system("EPSG:27700").forward(np.array([0.5]), np.array([50.5]))
+    assert float(e[0]) == pytest.approx(577274.99, abs=0.01) and float(n[0]) == pytest.approx(69740.50, abs=0.01)
+    foot = 0.3048006096012192
+    clarke = crs.Datum(6378206.4, 294.9786982)
+    texas = crs.LambertConic(clarke, -99.0, 27 + 50 / 60, 28 + 23 / 60, 30 + 17 / 60, 1.0, 2000000.0 * foot, 0.0)
+    e, n = texas.forward(np.array([-96.0]), np.array([28.5]))
+    assert float(e[0] / foot) == pytest.approx(2963503.91, abs=0.02) and float(n[0] / foot) == pytest.approx(254759.80, abs=0.02)
+
+
+def test_systems_return_to_their_place(spark):
+    lon, lat = np.array([-1.5, 2.35, 6.0]), np.array([52.0, 48.85, 45.0])
+    for code in ("EPSG:27700", "EPSG:2154", "EPSG:4277", "EPSG:25831", "EPSG:32631"):
+        back = crs.transform_xy(*crs.transform_xy(lon, lat, "EPSG:4326", code), code, "EPSG:4326")
+        assert np.allclose(back[0], lon, atol=1e-8) and np.allclose(back[1], lat, atol=1e-8), code
+    moved = crs.transform_xy(lon, lat, "EPSG:4277", "EPSG:4326")
+    assert 50 < 111000 * np.hypot(moved[0][0] - lon[0], moved[1][0] - lat[0]) < 300
+    crs.define(999001, crs.TransverseMercator(crs.GRS80, 127.0, 38.0, 1.0, 200000.0, 600000.0))
+    from pyspark.sql import functions as F
+
+    u, v = crs.transform_columns(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:999001")
+    r = spark.createDataFrame([(127.0, 38.0)], "x double, y double").select(u.alias("u"), v.alias("v")).first()
+    assert (round(r.u, 6), round(r.v, 6)) == (200000.0, 600000.0)
