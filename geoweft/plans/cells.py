@@ -36,14 +36,40 @@ def box_points(boxes: DataFrame, points: DataFrame, size: float, x="x", y="y") -
 
 
 def box_pairs(left: DataFrame, right: DataFrame, size: float, l=("xmin", "ymin", "xmax", "ymax"), r=("xmin2", "ymin2", "xmax2", "ymax2")) -> DataFrame:
-    """Pairs of closed boxes that meet; each pair once, in the cell of its lower left common corner."""
-    def spread(df, n):
-        return df.withColumn("_cx", F.explode(F.sequence(cell(F.col(n[0]), size), cell(F.col(n[2]), size)))).withColumn("_cy", F.explode(F.sequence(cell(F.col(n[1]), size), cell(F.col(n[3]), size))))
+    """Pairs of closed boxes that meet; each pair once, in the cell of its lower left common corner.
 
-    j = spread(left, l).join(spread(right, r), ["_cx", "_cy"])
+    Grids of sizes ``size * 2^level``: a box has the level at which it touches at most four cells, and a
+    pair meets in the grid of the larger of the two, so that a large box among small ones is not cut
+    into many cells.  Rows are multiplied; give ids and boxes only.
+    """
+    def own(n):
+        return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(n[2]) - F.col(n[0]), F.col(n[3]) - F.col(n[1])) / size)).cast("int"))
+
+    kinds = left.select(F.lit(0).alias("side"), own(l).alias("level")).union(right.select(F.lit(1), own(r))).distinct().collect()  # grids, some tens
+    mine, others = (sorted({k.level for k in kinds if k.side == side}) for side in (0, 1))
+
+    def levels(found):
+        return F.array(*map(F.lit, found)).cast("array<int>")
+
+    def spread(df, n, grids):
+        """One row a grid (level, whose own it is) and cell."""
+        d = df.withColumn("_g", F.explode(grids)).withColumn("_w", F.lit(size) * F.pow(F.lit(2.0), F.col("_g.level")))
+        d = d.withColumn("_cx", F.explode(F.sequence(cell(F.col(n[0]), F.col("_w")), cell(F.col(n[2]), F.col("_w")))))
+        return d.withColumn("_cy", F.explode(F.sequence(cell(F.col(n[1]), F.col("_w")), cell(F.col(n[3]), F.col("_w"))))).select(*df.columns, "_w", "_cx", "_cy", F.col("_g.level").alias("_level"), F.col("_g.of").alias("_of"))
+
+    def grids(n, of, found, strictly):
+        level = own(n)
+        at = lambda v, k: F.struct(v.cast("int").alias("level"), F.lit(k).alias("of"))
+        above = F.filter(levels(found), lambda v: v > level if strictly else v >= level)
+        return F.concat(F.array(at(level, of)), F.transform(above, lambda v: at(v, 1 - of)))
+
+    # in a grid of the left (0) the right box is no larger; in a grid of the right (1) the left box is smaller
+    a, b = spread(left, l, grids(l, 0, others, True)), spread(right, r, grids(r, 1, mine, False)).drop("_w")
+    j = a.join(b, ["_level", "_of", "_cx", "_cy"])
     meets = (F.col(l[0]) <= F.col(r[2])) & (F.col(r[0]) <= F.col(l[2])) & (F.col(l[1]) <= F.col(r[3])) & (F.col(r[1]) <= F.col(l[3]))
-    first = (F.col("_cx") == cell(F.greatest(F.col(l[0]), F.col(r[0])), size)) & (F.col("_cy") == cell(F.greatest(F.col(l[1]), F.col(r[1])), size))
-    return j.where(meets & first).drop("_cx", "_cy")
+    w = F.col("_w")
+    first = (F.col("_cx") == cell(F.greatest(F.col(l[0]), F.col(r[0])), w)) & (F.col("_cy") == cell(F.greatest(F.col(l[1]), F.col(r[1])), w))
+    return j.where(meets & first).drop("_level", "_of", "_w", "_cx", "_cy")
 
 
 def extent(points: DataFrame, x="x", y="y"):

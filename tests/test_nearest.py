@@ -58,3 +58,24 @@ def test_clustered_points_ask_for_few_leaves():
     tree = quadtree.Tree(corner, wide, [(quadtree.DEPTH - 6, *map(int, c), int(n)) for c, n in zip(cells_, counts)])
     who, _, _ = tree.needed(xy[:, 0], xy[:, 1], 1, np.inf)
     assert np.bincount(who).max() < 40
+
+
+def test_boxes_of_all_sizes_meet_once(spark):
+    """Against all pairs: tiny, middle and huge boxes, equal boxes, boxes that only touch, and places."""
+    rng = np.random.default_rng(5)
+
+    def boxes(n, first):
+        low, side = rng.uniform(-50, 50, (n, 2)), 10 ** rng.uniform(-2, 2.5, (n, 1)) * rng.uniform(0, 1, (n, 2))
+        side[:5] = 0
+        low[5:9], side[5:9] = np.floor(low[5:9]), 4
+        return [(first + i, *map(float, np.concatenate([a, a + b]))) for i, (a, b) in enumerate(zip(low, side))]
+
+    a, b = boxes(150, 0), boxes(120, 1000)
+    a += [(500, 0.0, 0.0, 1.0, 1.0), (501, 0.0, 0.0, 1.0, 1.0), (502, None, None, None, None)]
+    b += [(1500, 1.0, 1.0, 2.0, 2.0), (1501, 0.0, 0.0, 1.0, 1.0)]
+    left = spark.createDataFrame(a, "id long, xmin double, ymin double, xmax double, ymax double")
+    right = spark.createDataFrame(b, "id2 long, xmin2 double, ymin2 double, xmax2 double, ymax2 double")
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] is not None and p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    for size in (0.5, 7.0, 1000.0):
+        assert sorted((r.id, r.id2) for r in cells.box_pairs(left, right, size).collect()) == want
+    assert cells.box_pairs(left.where("false"), right, 1.0).count() == 0
