@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..functions import expr as E
 from ..plans.rows import binary_udf, exploded, geometries_udf, geometry_udf
-from ..plans.store import materialize
 from .overlay import candidates
 
 
@@ -265,7 +264,6 @@ def eliminate(df: DataFrame, option: str = "Length", exception: str | None = Non
     active = df.where(f"not coalesce({exception}, false)") if exception else df
     united = unite(active, [])
     holes = united.select(F.explode(F.flatten(F.transform("geom", lambda p: F.slice(p, 2, F.size(p))))).alias("ring")).select(F.array(F.array("ring")).alias("geom")).withColumn("fid", F.xxhash64(F.to_json("geom")))
-    holes = materialize(holes, "holes")  # read twice below, and a union may differ in its last digits when repeated
     border = binary_udf(lambda s, g: float(sum(K.path_length(q) for p in g for r in p for q in _shared(s[0][0], r))))
     m = candidates(holes, active).withColumn("_len", border("_ga", "_gb")).where("_len > 0").withColumn("_area", E.area(F.col("_gb")))
     key = {"Length": F.col("_len"), "LargerArea": F.col("_area"), "SmallerArea": -F.col("_area")}[option]

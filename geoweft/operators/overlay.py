@@ -6,6 +6,8 @@ Pairs whose union is needed are gathered per feature only (its own overlays), ne
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,6 @@ from .. import kernels as K
 from ..functions.expr import GEOMETRY, bounds
 from ..plans import cells as C
 from ..plans.rows import binary_udf, geometry_udf
-from ..plans.store import materialize
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -28,21 +29,17 @@ def boxed(df: DataFrame, suffix: str = "") -> DataFrame:
 
 def cell_size(*tables: DataFrame) -> float:
     """Twice the mean box side of the larger kind."""
-    best = 0.0
-    for t in tables:
-        b = bounds(F.col("geom"))
-        v = t.agg(F.avg(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]))).first()[0]
-        best = max(best, v or 0.0)
-    return 2 * best or 1.0
+    b = bounds(F.col("geom"))
+    means = [t.agg(F.avg(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])).alias("side")) for t in tables]
+    sides = reduce(DataFrame.union, means).agg(F.max("side")).first()[0]  # one job for all
+    return 2 * (sides or 0.0) or 1.0
 
 
 def candidates(a: DataFrame, b: DataFrame, aid: str = "fid", bid: str = "fid") -> DataFrame:
-    """_a, _ga, _b, _gb of features whose boxes meet; only ids and boxes go through the cells."""
-    left = boxed(a.select(F.col(aid).alias("_a"), "geom")).drop("geom")
-    right = boxed(b.select(F.col(bid).alias("_b"), "geom"), "2").drop("geom")
-    pairs = C.box_pairs(left, right, cell_size(a, b), tuple(f"_{n}" for n in BOX), tuple(f"_{n}2" for n in BOX)).select("_a", "_b")
-    pairs = pairs.join(a.select(F.col(aid).alias("_a"), F.col("geom").alias("_ga")), "_a")
-    return pairs.join(b.select(F.col(bid).alias("_b"), F.col("geom").alias("_gb")), "_b").select("_a", "_ga", "_b", "_gb")
+    """_a, _ga, _b, _gb of features whose boxes meet."""
+    left = boxed(a.select(F.col(aid).alias("_a"), "geom")).withColumnRenamed("geom", "_ga")
+    right = boxed(b.select(F.col(bid).alias("_b"), "geom"), "2").withColumnRenamed("geom", "_gb")
+    return C.box_pairs(left, right, cell_size(a, b), tuple(f"_{n}" for n in BOX), tuple(f"_{n}2" for n in BOX)).select("_a", "_ga", "_b", "_gb")
 
 
 def meet(a: K.Geometry, b: K.Geometry) -> bool:
@@ -68,8 +65,7 @@ def covers(outer: K.Geometry, inner: K.Geometry) -> bool:
 def semi_join(a: DataFrame, b: DataFrame, predicate: str = "intersects", aid: str | None = None) -> DataFrame:
     """Rows of ``a`` that meet (or lie in) a row of ``b``."""
     aid = aid or ("fid" if "fid" in a.columns else "uid")
-    # drawn ids are stored, for the candidates read them twice
-    right = b if "fid" in b.columns else materialize(b.withColumn("fid", F.monotonically_increasing_id()), "features")
+    right = b if "fid" in b.columns else b.withColumn("fid", F.monotonically_increasing_id())
     test = binary_udf(meet if predicate == "intersects" else lambda x, y: covers(y, x), "boolean")
     keep = candidates(a, right, aid).where(test("_ga", "_gb")).select(F.col("_a").alias(aid)).distinct()
     return a.join(keep, aid, "left_semi")

@@ -40,7 +40,7 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float, l=("xmin", "ymin",
 
     Grids of sizes ``size * 2^level``: a box has the level at which it touches at most four cells, and a
     pair meets in the grid of the larger of the two, so that a large box among small ones is not cut
-    into many cells.  Rows are multiplied; give ids and boxes only.
+    into many cells: a row has at most four copies a grid that it enters.
     """
     def own(n):
         return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(n[2]) - F.col(n[0]), F.col(n[3]) - F.col(n[1])) / size)).cast("int"))
