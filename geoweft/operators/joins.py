@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,21 +110,41 @@ def points_near_segments(points: DataFrame, lines: DataFrame, reach: float, fid:
     size = max(reach, s.agg(F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).first()[0] or 1.0)
     boxes = s.withColumn("xmin", F.least("ax", "bx") - reach).withColumn("xmax", F.greatest("ax", "bx") + reach).withColumn("ymin", F.least("ay", "by") - reach).withColumn("ymax", F.greatest("ay", "by") + reach)
     m = C.box_points(boxes, points.select(F.col(fid).alias("pid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), size)
+    return _on_segments(m).where(F.col("d") <= reach)
+
+
+def _on_segments(m: DataFrame) -> DataFrame:
+    """The place (px, py) of each segment that is nearest to the point x, y beside it, and its distance d."""
     ux, uy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     t = F.coalesce(F.try_divide((F.col("x") - F.col("ax")) * ux + (F.col("y") - F.col("ay")) * uy, ux * ux + uy * uy), F.lit(0.0))
     m = m.withColumn("_t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))).withColumn("px", F.col("ax") + F.col("_t") * ux).withColumn("py", F.col("ay") + F.col("_t") * uy)
-    return m.withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("d") <= reach).select("pid", "lid", "part", "seg", "d", "px", "py")
+    return m.withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).select("pid", "lid", "part", "seg", "d", "px", "py")
+
+
+def points_nearest_segments(points: DataFrame, lines: DataFrame, fid: str = "fid", lid: str = "fid") -> DataFrame:
+    """pid, lid, part, seg, d, px, py of segments among which is the nearest of each point, whatever its distance.
+
+    Segments are cut into pieces of one length, at most about nine times as many.  A quadtree of their middles tells the
+    leaves that hold the nearest middle; the nearest segment has a middle farther than that by half a piece at most.
+    """
+    ends = [F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]
+    s = segments(lines, lid).select("lid", "part", "seg", *ends).dropna(subset=["ax", "ay", "bx", "by"])
+    long = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    step = (s.agg(F.avg(long)).first()[0] or 0.0) / 8
+    n = F.greatest(F.lit(1), F.ceil(long / step)).cast("int") if step else F.lit(1)
+    at = (F.col("_i") + 0.5) / F.col("_n")
+    pieces = s.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("x2", F.col("ax") + at * (F.col("bx") - F.col("ax"))).withColumn("y2", F.col("ay") + at * (F.col("by") - F.col("ay"))).drop("_n", "_i")
+    p = points.select(F.col(fid).alias("pid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    m = C.near_leaves(p, pieces, "pid", step / 2)
+    return _on_segments(m) if m is not None else None
 
 
 def snap_points_to_lines(points: DataFrame, lines: DataFrame, tolerance: float = 0.0, fid: str = "fid") -> DataFrame:
     """Points move to the nearest place of the nearest line; unmatched points stay."""
-    reach = tolerance
-    if not reach:
-        b = E.bounds(F.col("geom"))
-        e = lines.agg(F.min(b["xmin"]), F.min(b["ymin"]), F.max(b["xmax"]), F.max(b["ymax"])).first()
-        p = C.extent(points)
-        reach = math.hypot(max(e[2], p.xmax) - min(e[0], p.xmin), max(e[3], p.ymax) - min(e[1], p.ymin))
-    best = points_near_segments(points, lines, reach, fid).groupBy(F.col("pid").alias("_pid")).agg(F.min(F.struct("d", "lid", "part", "seg", "px", "py")).alias("_m"))
+    near = points_near_segments(points, lines, tolerance, fid) if tolerance else points_nearest_segments(points, lines, fid)
+    if near is None:
+        return points.withColumn("snap_dist", F.lit(None).cast("double"))
+    best = near.groupBy(F.col("pid").alias("_pid")).agg(F.min(F.struct("d", "lid", "part", "seg", "px", "py")).alias("_m"))
     d = points.join(best, points[fid] == best["_pid"], "left")
     return d.withColumn("x", F.coalesce("_m.px", "x")).withColumn("y", F.coalesce("_m.py", "y")).withColumn("snap_dist", F.col("_m.d")).drop("_m", "_pid")
 

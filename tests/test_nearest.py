@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from geoweft.operators import joins
 from geoweft.plans import cells, quadtree
 
 
@@ -79,3 +81,24 @@ def test_boxes_of_all_sizes_meet_once(spark):
     for size in (0.5, 7.0, 1000.0):
         assert sorted((r.id, r.id2) for r in cells.box_pairs(left, right, size).collect()) == want
     assert cells.box_pairs(left.where("false"), right, 1.0).count() == 0
+
+
+def test_snap_to_the_nearest_of_many_lines(spark):
+    rng = np.random.default_rng(3)
+    a = rng.uniform(0, 100, (120, 2))
+    ends = [(i, [[[tuple(p.tolist()), tuple((p + d).tolist())]]]) for i, (p, d) in enumerate(zip(a, rng.normal(0, 4, (120, 2))))]
+    ends += [(500, [[[(50.0, 50.0), (50.0, 50.0)]]]), (501, [[[(-300.0, 7.0), (400.0, 9.0)]]]), (502, None)]
+    places = [*rng.uniform(-20, 120, (300, 2)).tolist(), [50.0, 50.0], [9e4, -7e5], [None, 3.0]]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "fid long, x double, y double")
+    lines = spark.createDataFrame(ends, "fid long, geom array<array<array<struct<x:double,y:double>>>>")
+    got = {r.fid: r for r in joins.snap_points_to_lines(points, lines).collect()}
+    seg = np.array([(*g[0][0][0], *g[0][0][1]) for _, g in ends if g])
+    for i, (x, y) in enumerate(places[:-1]):
+        u = seg[:, 2:] - seg[:, :2]
+        t = np.clip(((np.array([x, y]) - seg[:, :2]) * u).sum(axis=1) / np.maximum((u * u).sum(axis=1), 1e-300), 0, 1)
+        want = np.hypot(*(seg[:, :2] + t[:, None] * u - [x, y]).T).min()
+        assert got[i].snap_dist == pytest.approx(want, rel=1e-12, abs=1e-12)
+    assert got[302].snap_dist is None and got[302].y == 3.0 and len(got) == 303
+    few = points.where("fid < 300").join(joins.points_nearest_segments(points, lines), F.col("fid") == F.col("pid"))
+    assert few.count() < 300 * len(seg) / 3  # not every line with every point
+    assert {r.snap_dist for r in joins.snap_points_to_lines(points, lines.where("false")).collect()} == {None}
