@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import cells as C
+from ..plans import dense
 from .raster import Meta, Raster, at, blank, center, meta_for
 
-#: Sample points a spline may be solved for: its matrix is dense.
+#: Sample points up to which a spline's dense matrix is solved; more take steps.
 MAX_SPLINE_POINTS = 4000
+#: Of the solution by steps: near samples of a Lagrange function, samples solved for exactly, steps, and the largest error in parts of the largest value.
+NEAR, COARSE, MAX_SPLINE_STEPS, SPLINE_ERROR = 40, 500, 100, 1e-10
 
 
 def _meta(points: DataFrame, cell: float, extent) -> Meta:
@@ -147,36 +150,125 @@ def idw(df: DataFrame, field: str, power: float = 2.0, radius_type: str = "Varia
     return Raster(d, meta)
 
 
-def thin_plate_spline(df: DataFrame, field: str, cell: float = 0.0, extent=None) -> Raster:
-    """Dense solve on the samples (at most MAX_SPLINE_POINTS), evaluated cell by cell in vectorised batches."""
-    meta = _meta(df, cell, extent)
-    s = df.select("x", "y", F.expr(field).cast("double").alias("z")).where("z is not null").groupBy("x", "y").agg(F.avg("z").alias("z"))
-    n = s.count()
-    if n > MAX_SPLINE_POINTS:
-        raise ValueError(f"{n} sample points; a spline is solved for at most {MAX_SPLINE_POINTS}")
-    p = s.toPandas().to_numpy(float)
-    low, span = p[:, :2].min(axis=0), max(float(np.ptp(p[:, :2], axis=0).max()), 1e-12)
-    p[:, :2] = (p[:, :2] - low) / span  # the spline does not depend on scale; the solve does
+def _basis(x, y, px, py) -> np.ndarray:
+    q2 = (x[:, None] - px) ** 2 + (y[:, None] - py) ** 2
+    return 0.5 * q2 * np.log(np.where(q2 > 0, q2, 1))
 
-    def basis(x, y):
-        q2 = (x[:, None] - p[:, 0]) ** 2 + (y[:, None] - p[:, 1]) ** 2
-        return np.where(q2 > 0, 0.5 * q2 * np.log(np.where(q2 > 0, q2, 1)), 0)
 
+def _dense_spline(p: np.ndarray) -> np.ndarray:
+    """Weights of the samples (x, y, z), and the three terms of the plane."""
+    n = len(p)
     m = np.zeros((n + 3, n + 3))
-    m[:n, :n], m[:n, n], m[:n, n + 1 :], m[n, :n], m[n + 1 :, :n] = basis(p[:, 0], p[:, 1]), 1, p[:, :2], 1, p[:, :2].T
+    for a in range(0, n, 500):
+        m[a : min(a + 500, n), :n] = _basis(p[a : a + 500, 0], p[a : a + 500, 1], p[:, 0], p[:, 1])
+    m[:n, n], m[:n, n + 1 :], m[n, :n], m[n + 1 :, :n] = 1, p[:, :2], 1, p[:, :2].T
     right = np.concatenate([p[:, 2], [0, 0, 0]])
     try:
-        w = np.linalg.solve(m, right)
+        return np.linalg.solve(m, right)
     except np.linalg.LinAlgError:  # fewer than three points, or all on a line
-        w = np.linalg.lstsq(m, right, rcond=None)[0]
+        return np.linalg.lstsq(m, right, rcond=None)[0]
+
+
+def _large_spline(spark, p: np.ndarray) -> np.ndarray:
+    """The same weights by conjugate gradients, without the matrix: each step multiplies by it in blocks, in tasks.
+
+    Preconditioned by approximate Lagrange functions (Faul, Goodsell and Powell 2005): in a random order each sample has a spline that
+    is 1 there and 0 at its ``NEAR`` nearest later ones; the last ``COARSE`` are solved for exactly.  Samples of a plane take no step.
+    """
+    n, order = len(p), np.random.default_rng(0).permutation(len(p))
+    p = p[order]
+    plane = np.column_stack([np.ones(n), p[:, :2]])
+    size = max(float(np.abs(p[:, 2]).max()), 1e-300)
+    fit = lambda v: np.linalg.lstsq(plane, v, rcond=None)[0]
+    c = fit(p[:, 2])
+    rest, w, xy, first = p[:, 2] - plane @ c, np.zeros(n), np.ascontiguousarray(p[:, :2]), n - COARSE
+    if np.abs(rest).max() > SPLINE_ERROR * size:
+        tasks = max(1, n * n // dense.PAIRS)
+
+        def mapped(block, width, data=None):
+            """block(rows) for all rows, in tasks, as an array of ``width`` columns."""
+            sent = spark.sparkContext.broadcast((xy, data))
+
+            def run(batches):
+                for pdf in batches:
+                    for at in range(0, len(pdf), 64):
+                        i = pdf["id"].to_numpy()[at : at + 64]
+                        yield pd.DataFrame({"id": i, "v": list(block(i, *sent.value))})
+
+            got = spark.range(0, n, 1, tasks).mapInPandas(run, "id long, v array<double>").toPandas()
+            sent.unpersist()
+            out = np.empty((n, width))
+            out[got["id"].to_numpy()] = np.stack(got["v"].to_numpy())
+            return out
+
+        def times(i, xy, v):
+            out = np.zeros(len(i))
+            for a in range(0, len(xy), 4096):
+                out += _basis(xy[i, 0], xy[i, 1], *xy[a : a + 4096].T) @ v[a : a + 4096]
+            return out[:, None]
+
+        def lagrange(i, xy, _):
+            """Numbers of the samples near each, itself first, and its function's weights on them."""
+            out = np.zeros((len(i), 2 * (NEAR + 1)))
+            for row, k in enumerate(i):
+                if k < first:
+                    d = np.hypot(*(xy[k + 1 :] - xy[k]).T)
+                    near = np.concatenate([[k], k + 1 + np.argpartition(d, NEAR)[:NEAR]])
+                    u = (xy[near] - xy[k]) / max(d[near[1:] - k - 1].max(), 1e-300)  # weights of a spline with such conditions only scale
+                    zeta = _dense_spline(np.column_stack([u, np.arange(NEAR + 1) == 0]))[: NEAR + 1]
+                    out[row] = np.concatenate([near, zeta])
+            return out
+
+        made = mapped(lagrange, 2 * (NEAR + 1))[:first]
+        near, zeta = made[:, : NEAR + 1].astype(int), made[:, NEAR + 1 :]
+        keep = zeta[:, 0] > 0  # not where all of them are on a line
+        near, zeta = near[keep], zeta[keep] / np.sqrt(zeta[keep, :1])
+
+        def better(r):
+            z = np.zeros(n)
+            np.add.at(z, near, zeta * (zeta * r[near]).sum(axis=1, keepdims=True))
+            z[first:] += _dense_spline(np.column_stack([xy[first:], r[first:]]))[:-3]
+            return z - plane @ fit(z)  # the weights stay at right angles to planes
+
+        r, d, before = rest, None, 1.0
+        for step in range(MAX_SPLINE_STEPS):
+            z = better(r)
+            now = float(r @ z)
+            d = z if d is None else z + now / before * d
+            image, before = mapped(times, 1, d)[:, 0], now
+            alpha = now / float(d @ image)
+            w, r = w + alpha * d, r - alpha * image
+            off = r - plane @ fit(r)
+            if np.abs(off).max() <= SPLINE_ERROR * size:
+                break
+        else:
+            raise ValueError(f"the spline of {n} samples is off by {np.abs(off).max():.3g} after {MAX_SPLINE_STEPS} steps")
+        c = c + fit(r)
+    out = np.empty(n)
+    out[order] = w
+    return np.concatenate([out, c])
+
+
+def thin_plate_spline(df: DataFrame, field: str, cell: float = 0.0, extent=None) -> Raster:
+    """Solved on the samples, by a dense matrix up to MAX_SPLINE_POINTS and by steps beyond, evaluated cell by cell in vectorised batches."""
+    meta = _meta(df, cell, extent)
+    s = df.select("x", "y", F.expr(field).cast("double").alias("z")).where("z is not null").groupBy("x", "y").agg(F.avg("z").alias("z"))
+    p = s.toPandas().to_numpy(float)
+    n = len(p)
+    low, span = p[:, :2].min(axis=0), max(float(np.ptp(p[:, :2], axis=0).max()), 1e-12)
+    p[:, :2] = (p[:, :2] - low) / span  # the spline does not depend on scale; the solve does
+    w = _dense_spline(p) if n <= MAX_SPLINE_POINTS else _large_spline(df.sparkSession, p)
+    sent = df.sparkSession.sparkContext.broadcast((p, w))
 
     @F.pandas_udf("double")
     def value(x: pd.Series, y: pd.Series) -> pd.Series:
+        p, w = sent.value
         out = np.empty(len(x))
         X, Y = (x.to_numpy() - low[0]) / span, (y.to_numpy() - low[1]) / span
-        for a in range(0, len(X), 2000):
-            u, v = X[a : a + 2000], Y[a : a + 2000]
-            out[a : a + 2000] = basis(u, v) @ w[:n] + w[n] + w[n + 1] * u + w[n + 2] * v
+        rows = max(1, min(2000, 8_000_000 // n))
+        for a in range(0, len(X), rows):
+            u, v = X[a : a + rows], Y[a : a + rows]
+            out[a : a + rows] = _basis(u, v, p[:, 0], p[:, 1]) @ w[:n] + w[n] + w[n + 1] * u + w[n + 2] * v
         return pd.Series(out)
 
     g = _cells_xy(df.sparkSession, meta)
