@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..functions import expr as E
 from ..plans import cells as C
+from ..plans import greedy
 from ..plans.components import components
 from ..plans.rows import exploded, geometry_udf
 from .summary import parse
@@ -64,30 +65,13 @@ def singlepart_to_multipart(df: DataFrame, case: str, dissolved: bool = False) -
 def collect_events(df: DataFrame, count: str = "icount", tolerance: float = 0.1) -> DataFrame:
     """Greedy merge of points within the tolerance in fid order: the first unmerged point takes the rest.
 
-    Without a tolerance it is a grouping by place.  With one, points that chain within it form blocks
-    (components of the distance join) and the greedy pass runs in each block.
+    Without a tolerance it is a grouping by place.  With one, tiles settle their points in rounds (``plans/greedy``).
     """
     if tolerance <= 0:
         g = df.groupBy("x", "y").agg(F.count("*").alias(count), F.min("fid").alias("_f"))
         return df.join(g.select("_f", count), df["fid"] == F.col("_f")).drop("_f")
-    right = df.select(F.col("fid").alias("fid2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    links = C.point_pairs(df.select("fid", "x", "y"), right, tolerance).where("fid < fid2").select(F.col("fid").cast("long").alias("u"), F.col("fid2").cast("long").alias("v"))
-    parts = components(links)
-    d = df.select(F.col("fid").cast("long").alias("fid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(parts.select(F.col("node").alias("fid"), "component"), "fid")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("fid")
-        xy, fid, left, out = p[["x", "y"]].to_numpy(), p.fid.to_numpy(), K.np.ones(len(p), bool), []
-        for i in range(len(p)):
-            if left[i]:
-                hit = left & (K.np.hypot(*(xy - xy[i]).T) <= tolerance)
-                out.append((fid[i], int(hit.sum())))
-                left &= ~hit
-        return pd.DataFrame(out, columns=["fid", "n"])
-
-    merged = d.groupBy("component").applyInPandas(merge, "fid long, n long")
-    alone = df.select(F.col("fid").cast("long").alias("fid")).join(parts.select(F.col("node").alias("fid")), "fid", "left_anti").withColumn("n", F.lit(1).cast("long"))
-    keep = merged.unionByName(alone).select(F.col("fid").alias("_f"), F.col("n").alias(count))
+    points = df.select(F.col("fid").cast("long").alias("fid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    keep = greedy.merged(points, tolerance).select(F.col("fid").alias("_f"), F.col("n").alias(count))
     return df.join(keep, df["fid"] == F.col("_f")).drop("_f")
 
 
