@@ -79,3 +79,8 @@ def without_pairs(df, run, monkeypatch):
 def test_morans_i_makes_no_pairs(odd, monkeypatch):
     got, want = without_pairs(odd, lambda df: autocorr.global_morans_i(df, "v", standardization="Row", fid="fid"), monkeypatch)
     assert got.to_numpy() == pytest.approx(want.to_numpy(), abs=1e-12)
+
+
+def test_local_gearys_c_makes_no_pairs(odd, monkeypatch):
+    got, want = without_pairs(odd.where("fid is not null and x is not null").dropDuplicates(["fid"]), lambda df: autocorr.local_gearys_c(df, "v", standardization="Row", fid="fid").select("fid", "LGcIndex", "LGcZScore", "LGcPValue").orderBy("fid"), monkeypatch)
+    assert got.to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9, abs=1e-9)
