@@ -84,3 +84,9 @@ def test_morans_i_makes_no_pairs(odd, monkeypatch):
 def test_local_gearys_c_makes_no_pairs(odd, monkeypatch):
     got, want = without_pairs(odd.where("fid is not null and x is not null").dropDuplicates(["fid"]), lambda df: autocorr.local_gearys_c(df, "v", standardization="Row", fid="fid").select("fid", "LGcIndex", "LGcZScore", "LGcPValue").orderBy("fid"), monkeypatch)
     assert got.to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9, abs=1e-9)
+
+
+def test_local_morans_i_makes_no_pairs(odd, monkeypatch):
+    got, want = without_pairs(odd.where("fid is not null and x is not null").dropDuplicates(["fid"]), lambda df: autocorr.local_morans_i(df, "v", standardization="Row", fid="fid").select("fid", "LMiIndex", "LMiZScore", "LMiPValue", "COType").orderBy("fid"), monkeypatch)
+    assert got.pop("COType").tolist() == want.pop("COType").tolist()
+    assert got.to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9, abs=1e-9)
