@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..functions import expr as E
 from ..plans import cells as C
-from ..plans import greedy
-from ..plans.components import components
+from ..plans import discs, greedy
 from ..plans.rows import exploded, geometry_udf
 from .summary import parse
 
@@ -116,13 +115,6 @@ def delete_duplicates(df: DataFrame) -> DataFrame:
 
 
 def spatial_clumps(df: DataFrame, radius: str, segments: int = 8) -> DataFrame:
-    """Clumps of points whose circles overlap: components of the distance join, then one union a clump."""
+    """Clumps of points whose circles overlap, each with the union of the circles; tiles find its boundary (``plans/discs``)."""
     d = df.select(F.col("fid").cast("long").alias("fid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.expr(radius).cast("double").alias("r")).where("r > 0")
-    top = d.agg(F.max("r")).first()[0] or 1.0
-    right = d.select(F.col("fid").alias("fid2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("r").alias("r2"))
-    links = C.point_pairs(d, right, 2 * top).where("fid < fid2 and d <= r + r2").select(F.col("fid").alias("u"), F.col("fid2").alias("v"))
-    parts = components(links)
-    e = d.join(parts.select(F.col("node").alias("fid"), "component"), "fid", "left").withColumn("clump", F.coalesce("component", "fid"))
-    shaped = e.select("clump", E.circle(F.col("x"), F.col("y"), F.col("r"), 4 * segments).alias("geom"))
-    n = e.groupBy("clump").agg(F.count("*").alias("count"))
-    return unite(shaped, ["clump"]).join(n, "clump").withColumnRenamed("clump", "uid")
+    return discs.clumps(d, 4 * segments)
